@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siftwright.llm import bundles, components, copies, ledger, packing, quota
+from siftwright.llm import bundles, components, copies, leak, ledger, overlap, packing, quota, residue
 
 
 def queries() -> dict:
     return {
+        "p1_found": overlap.p1_found,
+        "p1_split_report": overlap.p1_split_report,
         "p2_found": components.p2_found,
         "p2_group_sizes": components.p2_group_sizes,
         "p3_ledger_sample": ledger.p3_ledger_sample,
@@ -20,6 +22,12 @@ def queries() -> dict:
         "p6_copy_counts": copies.p6_copy_counts,
         "p7_packed": packing.p7_packed,
         "p7_fill_report": packing.p7_fill_report,
+        "p8_found": leak.p8_found,
+        "p8_item_report": leak.p8_item_report,
+        "p8_cleaned": leak.p8_cleaned,
+        "p9_found": residue.p9_found,
+        "p9_message_groups": residue.p9_message_groups,
+        "p9_kept": residue.p9_kept,
     }
 
 
