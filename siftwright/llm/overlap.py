@@ -37,7 +37,7 @@ from siftwright.session import Scratch, read_table
 
 TRAINING = "pilot_train"
 #: Words changed, dropped or added that two copies may differ by, on either side.
-MAX_EDITS = 4
+MAX_EDITS = 5
 #: Words of an introductory phrase, which are free.
 MAX_INTRO = 8
 #: A word is common if one question in so many holds it.
@@ -47,7 +47,7 @@ ANCHORS = MAX_EDITS + 1
 _INVISIBLE = re.compile("[­​-‍⁠﻿]")
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTED = re.compile(r"[«“\"„‹]\s*([^\W_]+)\s*[»”\"“›]")
-_INTRO = re.compile(r"^\W*(?:\([^()]{1,60}\)|\[[^\[\]]{1,60}\]|[^.:!?\n]{1,60}[.:!])\s+(?=\S)")
+_INTRO = re.compile(r"^\W*(?:\([^()]{1,60}\)|\[[^\[\]]{1,60}\]|[^.:!?]{1,60}[.:!])\s+(?=\S)")
 
 
 def clean(text: str) -> str:
@@ -60,6 +60,8 @@ def without_intro(text: str) -> str:
         m = _INTRO.match(text)
         if not m or len(_TOKEN.findall(text[m.end():])) < 4 or any(ch.isdigit() or ch in "«»\"" for ch in m[0]):
             break
+        if len(_TOKEN.findall(m[0])) > (4 if m[0].rstrip().endswith(":") else 7):
+            break
         text = text[m.end():]
     return text
 
@@ -69,7 +71,8 @@ def tokenise(question: str) -> tuple[list[str], str]:
 
     ``d`` holds a digit, ``q`` a single word in quotation marks, ``n`` written
     as a name, ``o`` written as an ordinary word, ``u`` unknown, where the text
-    is all lower case, all capitals or all title case and shows nothing.
+    is all lower case, all capitals or all title case and shows nothing (``f``
+    for its first word, which a rewording changes most often).
     """
     raw = without_intro(clean(question))
     words, kinds = [], []
@@ -86,8 +89,10 @@ def tokenise(question: str) -> tuple[list[str], str]:
                 kinds.append("d")
             elif part in quoted:
                 kinds.append("q")
-            elif not plain or k == 0:
-                kinds.append("u")
+            elif not plain:
+                kinds.append("u" if k else "f")
+            elif k == 0:  # capital in any case: a name if a name goes on behind it
+                kinds.append("n" if len(tokens) > 1 and tokens[1][0].isupper() else "o")
             else:
                 kinds.append("n" if t[0].isupper() else "o")
     return words, "".join(kinds)
@@ -144,8 +149,9 @@ def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> boo
     """Equal but for an introduction and a few ordinary words.
 
     A word that only one side has must be ordinary: written in lower case amid
-    text that has capitals, or common, or a slip of such a word on the other
-    side. Numbers, quoted words and names must all agree.
+    text that has capitals, or common, or, in a text whose case shows nothing,
+    in the place of an ordinary word of the other side. Numbers, quoted words
+    and names must all agree.
     """
     if wa == wb:
         return True
@@ -153,14 +159,11 @@ def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> boo
     only_a, only_b = ca - cb, cb - ca
     if not only_a and not only_b:
         return True  # the same words in another order
-    kind_a, kind_b = dict(zip(wa, ka)), dict(zip(wb, kb))
+    # of a word that stands twice, the reading that shows an ordinary word counts
+    kind_a, kind_b = ({w: k for w, k in sorted(zip(ws, ks), key=lambda x: "nufoqd".index(x[1]))} for ws, ks in ((wa, ka), (wb, kb)))
 
-    def ordinary(w: str, kind: str, others: Counter) -> bool:
-        if kind in "dqn":
-            return False
-        if kind == "o" or w in common:
-            return True
-        return any((o in common) and osa_within(w, o, 2) for o in others)
+    def ordinary(w: str, kind: str) -> bool:
+        return kind in "of" or (kind == "u" and w in common)
 
     def intro(words: list[str], only: Counter, other: Counter) -> int:
         n = 0
@@ -173,12 +176,10 @@ def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> boo
         return False
     if len(wa) < 3 or len(wb) < 3:
         return False
-    # a word whose counterpart on the other side is the same word with a slip is one edit of an ordinary word only if one of both is ordinary
-    for w in only_a:
-        if not ordinary(w, kind_a[w], only_b):
-            return False
-    for w in only_b:
-        if not ordinary(w, kind_b[w], only_a):
+    # where one side shows nothing, a word may stand for an ordinary word of the other side
+    for only, kind, other, other_kind in ((only_a, kind_a, only_b, kind_b), (only_b, kind_b, only_a, kind_a)):
+        strange = [w for w in only if not ordinary(w, kind[w])]
+        if any(kind[w] in "dqn" for w in strange) or len(strange) > sum(ordinary(w, other_kind[w]) for w in other):
             return False
     return 2 * sum((ca & cb).values()) >= max(len(wa), len(wb))
 
