@@ -12,8 +12,8 @@ many as the edits that two copies may differ by, plus one, so two copies share
 an anchor whatever words were changed. Words in use all over the corpus rank
 last; where a question has no others, the anchor is joined with the options,
 each wrong one left out in turn, so a bucket stays small. Evaluation hashes are
-joined with training hashes, a pair is kept at the first anchor its records
-share, and the words and options of the pair decide.
+joined with training hashes, and the words and options of each pair of
+records that share an anchor decide.
 
 The list of common words is the only thing collected: words in at least one of
 ``COMMON_SHARE`` of the questions, of which there can be no more than words in
@@ -237,26 +237,24 @@ def find_overlaps(items: DataFrame, spark: SparkSession, training: str = TRAININ
         "id", (F.col("source_split") == training).alias("train"), canon("question", "options", "gold", "answer").alias("c")
     ).where("c.words is not null")
     text = F.concat_ws("\x1e", F.array_join("c.words", " "), "c.right", F.array_join("c.wrong", "\x1f"))
-    members = scratch.cut(rows.select("id", "train", F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), "c").distinct())
     cls = ["h1", "h2"]
-    classes = scratch.cut(members.groupBy(*cls).agg(
-        F.min(F.struct(F.col("id").alias("first"), "c")).alias("m"),
-        F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"),
-    ).select(*cls, F.col("m.c.words").alias("words"), F.col("m.c.kinds").alias("kinds"), F.col("m.c.right").alias("right"),
-             F.col("m.c.wrong").alias("wrong"), "in_train", "in_eval"))
+    body = ["words", "kinds", "right", "wrong"]
+    records = scratch.cut(rows.select("id", "train", F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), *["c." + c for c in body]))
+    members = records.select("id", "train", *cls).distinct()
+    classes = scratch.cut(records.groupBy(*cls).agg(
+        F.min(F.struct("id", *body)).alias("m"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"),
+    ).select(*cls, *["m." + c for c in body], "in_train", "in_eval"))
     common = common_words(classes)
     sent = spark.sparkContext.broadcast(common)
 
     def keys_of(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Series) -> pd.Series:
         return anchors(words, kinds, right, wrong, sent.value)
 
-    keyed = classes.select(*cls, "in_train", "in_eval", F.pandas_udf(keys_of, "array<bigint>")("words", "kinds", "right", "wrong").alias("keys"))
-    keyed = scratch.cut(keyed).select("*", F.explode("keys").alias("key"))
-    left = keyed.where("in_eval").select("key", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("keys").alias("ekeys"))
-    right = keyed.where("in_train").select("key", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("keys").alias("tkeys"))
-    met = left.join(right, "key").where("e1 <> t1 or e2 <> t2")
-    met = met.where(F.element_at(F.array_intersect("ekeys", "tkeys"), 1) == F.col("key")).select("e1", "e2", "t1", "t2")
-    body = ["words", "kinds", "right", "wrong"]
+    keys = F.pandas_udf(keys_of, "array<bigint>")("words", "kinds", "right", "wrong")
+    keyed = scratch.cut(classes.select(*cls, "in_train", "in_eval", keys.alias("keys"))).select(*cls, "in_train", "in_eval", F.explode("keys").alias("key"))
+    left = keyed.where("in_eval").select("key", F.col("h1").alias("e1"), F.col("h2").alias("e2"))
+    right = keyed.where("in_train").select("key", F.col("h1").alias("t1"), F.col("h2").alias("t2"))
+    met = left.join(right, "key").where("e1 <> t1 or e2 <> t2").select("e1", "e2", "t1", "t2").distinct()
     pairs = met.join(classes.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), *[F.col(c).alias("e_" + c) for c in body]), ["e1", "e2"])
     pairs = pairs.join(classes.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), *[F.col(c).alias("t_" + c) for c in body]), ["t1", "t2"])
 
