@@ -30,7 +30,8 @@ def canonical(question: pd.Series, options: pd.Series) -> pd.Series:
     out = []
     for q, o in zip(question, options):
         head = alnum_key(q)
-        out.append(None if not head else head + "\x1e" + "\x1f".join(sorted(map(alnum_key, () if o is None else o))))
+        parts = sorted(map(alnum_key, () if o is None else o))
+        out.append("\x1e".join((head, str(len(parts)), "\x1f".join(parts))) if head else None)
     return pd.Series(out, dtype="object")
 
 

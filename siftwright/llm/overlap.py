@@ -78,14 +78,14 @@ def tokenise(question: str) -> tuple[list[str], str]:
     words, kinds = [], []
     quoted = {strip_marks(w).casefold() for w in _QUOTED.findall(raw)}
     tokens = _TOKEN.findall(raw)
-    letters = [t for t in tokens if not any(ch.isdigit() for ch in t)]
+    letters = [t for t in tokens if t.isalpha()]
     capital = sum(t[0].isupper() for t in letters)
     plain = capital <= max(1, 0.75 * len(letters)) and any(t[0].islower() and len(t) > 2 for t in letters) and capital > 0
     for k, t in enumerate(tokens):
         w = strip_marks(t).casefold()
         for part in _TOKEN.findall(w):
             words.append(part)
-            if any(ch.isdigit() for ch in part):
+            if not part.isalpha() and any(map(str.isdigit, part)):
                 kinds.append("d")
             elif part in quoted:
                 kinds.append("q")
