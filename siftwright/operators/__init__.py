@@ -1 +1 @@
-"""operators"""
+"""DataFrame operators: screens, joins, aggregates, ranking, graphs and gates."""

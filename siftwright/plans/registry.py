@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers ``f(spark, sf_dir)`` under ``name``, with the SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        if name in _QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from siftwright.plans import evaluation, keys_and_layout, ranking, screens, sources, texts  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
