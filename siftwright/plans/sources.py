@@ -17,12 +17,12 @@ def _folder(spark, name: str) -> str:
     return f"{Scratch(spark, name).root}/files"
 
 
-@query("jsonl_round_trip", "select doc_id, lang, source, length(text)::int as chars from documents")
+@query("jsonl_round_trip", "select doc_id, lang, source, coalesce(length(text), -1)::bigint as chars from documents")
 def jsonl_round_trip(spark, sf_dir):
     path = _folder(spark, "jsonl")
     files.write_jsonl(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
     rows = files.project(files.read_jsonl(spark, path, DOCUMENT), ["doc_id", "lang", "source", "text"])
-    return rows.select("doc_id", "lang", "source", F.length("text").alias("chars"))
+    return rows.select("doc_id", "lang", "source", F.coalesce(F.length("text"), F.lit(-1)).cast("bigint").alias("chars"))
 
 
 @query("jsonl_filtered", "select doc_id, source from documents where lang = 'it'")
@@ -105,6 +105,20 @@ def stream_labelled_once(spark, sf_dir):
     return done.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"))
 
 
+@query(
+    "stream_windowed_counts",
+    "select time_bucket(interval '1 hour', ts)::timestamp as start, event_type, count(*) as n from events where ts is not null group by 1, 2",
+)
+def stream_windowed_counts(spark, sf_dir):
+    """Hourly counts per type from a stream of events, late ones within the watermark included."""
+    rows = read_table(spark, sf_dir, "events").where("ts is not null").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    stream = _replayed(spark, rows, "hours")
+    name = "hours" + Scratch(spark, "m").root[-8:]
+    counts = stream_views.windowed_counts(stream, "ts", "1 hour", "3650 days", "event_type")
+    counts.writeStream.format("memory").queryName(name).option("checkpointLocation", _folder(spark, "hours-log")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @query("stream_complete_views")
 def stream_complete_views(spark, sf_dir):
     """Items whose four views have arrived in the stream, each emitted once."""

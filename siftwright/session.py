@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="siftwright-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
         return sc.getCheckpointDir()
     if not sc.getCheckpointDir():

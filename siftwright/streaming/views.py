@@ -2,8 +2,7 @@
 
 A row is emitted once, when all its views have arrived, whatever batches they
 came in; repeated deliveries change nothing. State is one struct per open row,
-partitioned by row id, and is dropped when the row is complete or late beyond
-the watermark.
+partitioned by row id; of a complete row only a mark is kept.
 """
 
 from __future__ import annotations
@@ -23,11 +22,16 @@ def once(stream: DataFrame, key: list[str], time: str, late: str) -> DataFrame:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def complete_views(stream: DataFrame, views: int = 4, patience_ms: int = 3_600_000) -> DataFrame:
-    """``stream (id, view, top1)`` to one row per id, when ``views`` distinct views have arrived."""
+def complete_views(stream: DataFrame, views: int = 4, patience_ms: int | None = None) -> DataFrame:
+    """``stream (id, view, top1)`` to one row per id, when ``views`` distinct views have arrived.
+
+    With ``patience_ms`` the state of a row is dropped after so long without
+    news (for continuous triggers); without it state is kept, which suits runs
+    over what is there.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if patience_ms and state.hasTimedOut:
             state.remove()
             return
         seen = dict(zip(*state.get)) if state.exists else {}
@@ -40,10 +44,12 @@ def complete_views(stream: DataFrame, views: int = 4, patience_ms: int = 3_600_0
             yield pd.DataFrame({"id": [key[0]], "views": [len(seen)], "top1": [[seen[v] for v in sorted(seen)]]})
             seen = {-1: 1}
         state.update(([*seen], [*seen.values()]))
-        state.setTimeoutDuration(patience_ms)
+        if patience_ms:
+            state.setTimeoutDuration(patience_ms)
 
     return stream.where("id is not null").groupBy("id").applyInPandasWithState(
-        step, DONE, "views array<int>, tops array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, DONE, "views array<int>, tops array<int>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout,
     )
 
 
