@@ -109,6 +109,8 @@ def reference_matches(
 
 def set_classes(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """``members (id, rep, by)`` and one row per distinct token set ``(id, tokens, by)``; ``rep`` is the lowest id."""
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
     keyed = rows.where(F.size("tokens") > 0).select("id", *by, F.array_sort(F.array_distinct("tokens")).alias("tokens"))
     keyed = keyed.withColumn("_set", F.sha2(F.array_join("tokens", "\x1f"), 256))
     reps = keyed.groupBy(*by, "_set").agg(F.min("id").alias("rep"))
@@ -120,7 +122,8 @@ def jaccard_pairs(rows: DataFrame, threshold: float, by: list[str], spark: Spark
     """Exact Jaccard self join within ``by``: ``pairs (a, b, score, by)`` of class representatives, and ``members``.
 
     ``rows (id, tokens, by)``. Rows with the same token set are one class; a
-    pair is listed once, ``a < b``. Rows without tokens have no partner.
+    pair is listed once, ``a < b``. Rows without tokens or with a null class
+    are left out.
     """
     scratch = Scratch(spark, "jaccard")
     members, reps = set_classes(scratch.cut(rows.select("id", *by, "tokens")), by)  # tokenised once
@@ -182,7 +185,7 @@ def cosine_hits(rows: DataFrame, queries: DataFrame, threshold: float | None, by
                     continue
                 x = unit(np.array([v for v, ok in zip(vectors, fit) if ok], dtype=np.float64))
                 own, labels = ids[fit], np.array(batch.column(2).to_pylist())[fit]
-                s = x @ q.T
+                s = np.nan_to_num(x @ q.T, nan=-np.inf)
                 s[(own[:, None] == qid[None, :]) | (labels[:, None] != qlabel[None, :])] = -np.inf
                 if threshold is None:
                     best = s.max(axis=0)

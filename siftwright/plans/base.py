@@ -56,7 +56,7 @@ ITEMS_SQL = f"items as (select distinct {', '.join(ITEM_COLUMNS)} from {INSTRUME
 _K = sql_keep("o")
 VALID_SQL = f"""{ITEMS_SQL},
 valid as (
-  select * from items where len(options) = 4 and gold between 0 and 3 and trim(question) <> '' and domain is not null and group_id is not null
+  select * from items where len(options) = 4 and gold between 0 and 3 and trim(question, ' ') <> '' and domain is not null and group_id is not null
     and len(list_distinct([{_K} for o in options])) = 4 and not list_contains([{_K} for o in options], ''))"""
 VIEWS_SQL = f"""{VALID_SQL},
 raw as (

@@ -12,12 +12,12 @@ from siftwright.plans.registry import query
 from siftwright.session import read_table
 
 def spread(array, n: int, digits: int = 8, name: str = "p"):
-    """Array elements as rounded columns."""
-    return [F.round(F.element_at(array, k + 1), digits).alias(f"{name}{k}") for k in range(n)]
+    """Array elements as rounded columns (nudged off exact halves, which engines round apart)."""
+    return [F.round(F.element_at(array, k + 1) + 1e-11, digits).alias(f"{name}{k}") for k in range(n)]
 
 
 def sql_spread(array: str, n: int, digits: int = 8, name: str = "p") -> str:
-    return ", ".join(f"round(({array})[{k + 1}], {digits}) as {name}{k}" for k in range(n))
+    return ", ".join(f"round(({array})[{k + 1}] + 1e-11, {digits}) as {name}{k}" for k in range(n))
 
 
 PERMS = "[" + ", ".join(str(p) for p in A.PERMUTATIONS) + "]"

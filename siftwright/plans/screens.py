@@ -186,8 +186,8 @@ def accepted_items(spark, sf_dir):
 
 _REASONS_SQL = f"""{ITEMS_SQL}, k as (select *, [{sql_keep('o')} for o in options] ks from items),
 f as (select id, [x for x in [
-  case when trim(coalesce(group_id, '')) = '' then 'missing_group' end, case when trim(coalesce(domain, '')) = '' then 'missing_domain' end,
-  case when trim(coalesce(question, '')) = '' then 'missing_question' end, case when coalesce(len(options), -1) <> 4 then 'option_count' end,
+  case when trim(coalesce(group_id, ''), ' ') = '' then 'missing_group' end, case when trim(coalesce(domain, ''), ' ') = '' then 'missing_domain' end,
+  case when trim(coalesce(question, ''), ' ') = '' then 'missing_question' end, case when coalesce(len(options), -1) <> 4 then 'option_count' end,
   case when list_contains(ks, '') then 'empty_option' end, case when len(list_distinct(ks)) < len(ks) then 'repeated_option' end,
   case when gold is null or gold not between 0 and 3 then 'gold_out_of_range' end] if x is not null] rs from k)"""
 

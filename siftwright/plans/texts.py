@@ -93,7 +93,7 @@ def history_predicates(spark, sf_dir):
     f"""with {ITEMS_SQL}, o as (select id, question, unnest(options) o from items where domain in ('lexicon', 'orthography')),
     p as (select id, question, o, regexp_replace(regexp_replace(coalesce(o, ''), '\\s+', ' ', 'g'), '^[ .;:]+|[ .;:]+$', '', 'g') g, regexp_extract(question, '«([^»]*)»', 1) w from o),
     q as (select *, {sql_keep('g')} low, {sql_keep('w')} wk from p)
-    select id, o as option, case when regexp_full_match(trim(coalesce(o, '')), '[A-Za-zÀ-ÖØ-öø-ÿ]+') and length(trim(o)) between 3 and 22 then trim(o) end as word,
+    select id, o as option, case when regexp_full_match(trim(coalesce(o, ''), ' '), '[A-Za-zÀ-ÖØ-öø-ÿ]+') and length(trim(o, ' ')) between 3 and 22 then trim(o, ' ') end as word,
       case when length(g) between 18 and 220 and not (starts_with(low, 'plurale di ') or starts_with(low, 'femminile di ') or starts_with(low, 'maschile di ')
         or starts_with(low, 'forma di ')) and wk <> low and wk <> string_split(low, ' (')[1] then g end as gloss from q""",
 )
@@ -146,7 +146,7 @@ def masked_answers(spark, sf_dir):
 
 @query(
     "rendered_questions",
-    f"""with {VALID_SQL} select id, case when trim(coalesce(context, '')) <> '' then trim(context) || chr(10) || chr(10) || question else question end
+    f"""with {VALID_SQL} select id, case when trim(coalesce(context, ''), ' ') <> '' then trim(context, ' ') || chr(10) || chr(10) || question else question end
       || chr(10) || 'A. ' || options[1] || chr(10) || 'B. ' || options[2] || chr(10) || 'C. ' || options[3] || chr(10) || 'D. ' || options[4] as prompt from valid""",
 )
 def rendered_questions(spark, sf_dir):
@@ -157,7 +157,7 @@ def rendered_questions(spark, sf_dir):
 
 @query(
     "semantic_surfaces",
-    f"""with {VALID_SQL} select id, question as plain, question || chr(10) || chr(10) || array_to_string(list_sort([trim(o) for o in options]), ' || ') as with_options from valid""",
+    f"""with {VALID_SQL} select id, question as plain, question || chr(10) || chr(10) || array_to_string(list_sort([trim(o, ' ') for o in options]), ' || ') as with_options from valid""",
 )
 def semantic_surfaces(spark, sf_dir):
     plain, full = X.semantic_surfaces(F.col("question"), F.col("options"))
@@ -167,7 +167,7 @@ def semantic_surfaces(spark, sf_dir):
 @query(
     "question_surfaces",
     f"""with {ITEMS_SQL}, s as (select id, unnest([question, context, domain || ': ' || question]) surface from items)
-    select id, surface from s where surface is not null and trim(surface) <> ''""",
+    select id, surface from s where surface is not null and trim(surface, ' ') <> ''""",
 )
 def question_surfaces(spark, sf_dir):
     """Questions of a row from its own columns and from user messages."""
@@ -189,7 +189,7 @@ def option_values(spark, sf_dir):
 @query(
     "parsed_answers",
     """with d as (select doc_id, text as o from documents), p as (select doc_id, o, nullif(regexp_extract(coalesce(o, ''), '([A-Z])', 1), '') l from d)
-    select doc_id, l as parsed, coalesce(regexp_full_match(l, '[A-D]'), false) as valid, coalesce(regexp_full_match(trim(o), '[A-D]'), false) as exact from p""",
+    select doc_id, l as parsed, coalesce(regexp_full_match(l, '[A-D]'), false) as valid, coalesce(regexp_full_match(trim(o, ' '), '[A-D]'), false) as exact from p""",
 )
 def parsed_answers(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in X.parse_answer(F.col("text")).items()])
