@@ -16,11 +16,16 @@ def total_and_by(rows: DataFrame, *levels: str) -> DataFrame:
     return rows.sparkSession.sql(f"select {', '.join(levels)}, count(*) as n from {view} group by grouping sets ({sets})")
 
 
-def collapse(rows: DataFrame, key: str, provenance: list[str]) -> DataFrame:
-    """One row per key: the lowest id, sorted provenance structs and the number of rows."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min("id").alias("id"), F.array_sort(F.collect_set(F.struct(*provenance))).alias("provenance"), F.count(F.lit(1)).alias("rows")
-    )
+def collapse(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``representatives (key, id, rows)`` and ``provenance``: every row with its representative ``rep``.
+
+    The representative is the lowest id of its key. Provenance comes as rows,
+    not as a list in the representative's row, which a large group would make
+    unbounded. Rows with a null key are left out.
+    """
+    keyed = rows.where(F.col(key).isNotNull())
+    reps = keyed.groupBy(key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    return reps, keyed.join(reps.select(key, F.col("id").alias("rep"), "rows"), key)
 
 
 def key_conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:

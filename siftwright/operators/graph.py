@@ -54,12 +54,16 @@ def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def family_ids(members: DataFrame, components: DataFrame) -> DataFrame:
-    """``(id, group_id)``: a content hash of the sorted ids of the component; lone ids are families of one.
+    """``(id, group_id)``: a content hash of the ids of the component; lone ids are families of one.
 
-    The member list of a family is a row of its own, as the hash needs it whole.
+    A hash of hashes: ids fall into buckets by their own hash, each bucket's
+    sorted list is hashed, and the bucket hashes in order give the family's. So
+    no row holds a whole family, whatever its size.
     """
     from siftwright.functions.keys import family_id
 
     placed = members.join(components, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    ids = placed.groupBy("root").agg(family_id(F.collect_list(F.col("id").cast("string"))).alias("group_id"))
-    return placed.join(ids, "root").select("id", "group_id")
+    name = F.col("id").cast("string")
+    parts = placed.groupBy("root", F.substring(F.sha2(name, 256), 1, 3).alias("bucket")).agg(family_id(F.collect_list(name)).alias("part"))
+    whole = parts.groupBy("root").agg(family_id(F.collect_list(F.concat("bucket", "part"))).alias("group_id"))  # 4096 buckets at most
+    return placed.join(whole, "root").select("id", "group_id")

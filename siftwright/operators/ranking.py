@@ -11,16 +11,78 @@ from pyspark.sql import functions as F
 from siftwright.functions.keys import hash_bucket, order_key
 
 
+#: Hex digits of a hash that name a bucket: 16**3 buckets for each stratum.
+BUCKET_DIGITS = 3
+
+
 def first_by(rows: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in the given order; the order must be total."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The first row of each key in the given order; the order must be total.
+
+    A minimum over structs, so a key with a large share of all rows is
+    pre-aggregated before the shuffle instead of sorted in one task.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    by = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{k}") for k, o in enumerate(order)]
+    best = rows.groupBy(*key).agg(F.min(F.struct(*by, *[F.col(c) for c in rest])).alias("_b"))
+    return best.select(*key, *[F.col("_b")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
-def quota_by(rows: DataFrame, quotas: DataFrame, by: str, order: list[Column | str]) -> DataFrame:
-    """The first ``quota`` rows of each stratum; ``quotas (by, quota)`` is a small table of strata."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.join(F.broadcast(quotas), by).withColumn("_k", F.row_number().over(w)).where("_k <= quota").drop("_k", "quota")
+def take_lowest(rows: DataFrame, quotas: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
+    """The ``quota`` rows of lowest ``order`` hash (hex text) in each stratum ``by``; ties by ``key``.
+
+    ``quotas (by, quota)`` has one row per stratum; it holds strata, not records.
+
+    No stratum is sorted as a whole: hash buckets are counted, the bucket in
+    which the quota runs out is found for each stratum, whole buckets below it
+    are taken as they are, and only that one bucket is ranked.
+    """
+    bucketed = rows.withColumn("_bucket", F.substring(order, 1, BUCKET_DIGITS))
+    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bucket")
+    cum = counts.withColumn("_upto", F.sum("_n").over(upto))
+    joined = cum.join(quotas, by, "inner") if by else cum.crossJoin(quotas.limit(1))  # one row
+    # the first bucket whose running count reaches the quota, and what is left for it
+    cut = joined.where(F.col("_upto") - F.col("_n") < F.col("quota")).groupBy(*by).agg(
+        F.max(F.struct("_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("left"))).alias("_cut")
+    )
+    with_cut = bucketed.join(F.broadcast(cut), by, "inner") if by else bucketed.crossJoin(F.broadcast(cut))  # a row per stratum
+    below = with_cut.where(F.col("_bucket") < F.col("_cut._bucket"))
+    w = Window.partitionBy(*by, "_bucket").orderBy(order, key)
+    at = with_cut.where(F.col("_bucket") == F.col("_cut._bucket")).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_cut.left"))
+    return below.drop("_bucket", "_cut").unionByName(at.drop("_bucket", "_cut", "_rank"))
+
+
+def rank_in_hash_order(rows: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
+    """Adds ``rank`` (0-based) and ``group_rows``: the place of each row of a stratum in hash order.
+
+    Ranks are bucket offsets plus a rank within the bucket, so the largest
+    stratum is spread over as many tasks as it has buckets.
+    """
+    bucketed = rows.withColumn("_bucket", F.substring(order, 1, BUCKET_DIGITS))
+    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by or [F.lit(0)])
+    offsets = counts.select(
+        *by, "_bucket", (F.sum("_n").over(w.orderBy("_bucket")) - F.col("_n")).alias("_offset"), F.sum("_n").over(w).alias("group_rows")
+    )
+    within = bucketed.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(order, key)))
+    return within.join(offsets, [*by, "_bucket"]).select(*rows.columns, (F.col("_offset") + F.col("_rank") - 1).alias("rank"), "group_rows")
+
+
+def quota_by(rows: DataFrame, quotas: DataFrame, by: str, key: str, order: Column) -> DataFrame:
+    """The first ``quota`` rows of each stratum in hash order; strata without a quota give none."""
+    return take_lowest(rows.withColumn("_h", order), quotas.select(by, "quota"), [by], key, "_h").select(rows.columns)
+
+
+def place_in_order(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Adds ``place``, the 1-based place within ``by`` when sorted by ``order``, over a range-partitioned sort."""
+    from siftwright.session import Scratch
+
+    ordered = rows.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id())
+    ordered = Scratch(rows.sparkSession, "place").cut(ordered)  # the ranges are drawn once
+    counts = ordered.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(by, "_part", (F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order))
+    return ordered.withColumn("_w", within).join(before, [by, "_part"]).select(*rows.columns, (F.col("_before") + F.col("_w")).alias("place"))
 
 
 def first_n(rows: DataFrame, by: str, n: int, order: list[Column | str]) -> DataFrame:
@@ -131,11 +193,16 @@ def sequential_quota(rows: DataFrame, domains: Sequence[tuple[str, int]], signat
 
 
 def preferred_mix(rows: DataFrame, preferred: Column, quota: int, share: float, order: list[Column | str]) -> DataFrame:
-    """``quota`` rows, ``share`` of them (rounded half to even) from the preferred stratum where it has them, the rest in order from all others."""
+    """``quota`` rows, ``share`` of them (rounded half to even) from the preferred stratum where it has them, the rest in order from all others.
+
+    Of each stratum only its first ``quota`` rows can matter; the two bounded
+    lists are merged.
+    """
     marked = rows.withColumn("_p", F.coalesce(preferred, F.lit(False)))
-    w = Window.partitionBy("_p").orderBy(*order)
-    first = marked.withColumn("_k", F.row_number().over(w)).withColumn("_tier", F.when(F.col("_p") & (F.col("_k") <= round(quota * share)), 0).otherwise(1))
-    return first.orderBy("_tier", *order).limit(quota).drop("_p", "_k", "_tier")
+    best = marked.where("_p").orderBy(*order).limit(quota).unionByName(marked.where(~F.col("_p")).orderBy(*order).limit(quota))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    tier = F.when(F.col("_p") & (F.col("_k") <= round(quota * share)), 0).otherwise(1)
+    return best.withColumn("_k", rank).withColumn("_tier", tier).orderBy("_tier", *order).limit(quota).drop("_p", "_k", "_tier")
 
 
 def round_robin(slots: DataFrame, quota: int, group: str, slot: str, *order: Column | str) -> DataFrame:
@@ -152,10 +219,10 @@ def hash_split(key: Column, bounds: Sequence[tuple[str, int]], n: int, seed: str
     return out
 
 
-def cyclic_slot(rows: DataFrame, by: str, order: list[Column | str], name: str = "slot") -> DataFrame:
-    """k-th row of each count takes slot k mod count."""
-    k = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn(name, (k % F.col(by)).cast("int"))
+def cyclic_slot(rows: DataFrame, by: str, key: str, order: Column, name: str = "slot") -> DataFrame:
+    """The k-th row of each count, in hash order, takes slot k mod count."""
+    ranked = rank_in_hash_order(rows.withColumn("_h", order), [by], key, "_h")
+    return ranked.select(*rows.columns, (F.col("rank") % F.col(by)).cast("int").alias(name))
 
 
 def rank_slices(rank: Column, slices: Sequence[tuple[int, int]]) -> Column:
@@ -177,7 +244,8 @@ def epoch_mix(signal: DataFrame, anchors: DataFrame, seed: str, share: float = 0
     want = -(-n_signal * round(share * 100) // (100 - round(share * 100)))
     out = signal.select(F.lit("signal").alias("kind"), "id", F.lit(0).alias("turn"))
     if n_anchor and want:
-        ranked = anchors.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_key(seed, "anchor", F.col("id")), "id")).alias("k"))
+        hashed = anchors.select("id", order_key(seed, "anchor", F.col("id")).alias("_h"))
+        ranked = rank_in_hash_order(hashed, [], "id", "_h").select("id", (F.col("rank") + 1).alias("k"))
         turns = F.floor((F.lit(want) - F.col("k")) / n_anchor).cast("int")
         repeated = ranked.where(F.col("k") <= want).select("id", F.explode(F.sequence(F.lit(0), turns)).alias("turn"))
         out = out.unionByName(repeated.select(F.lit("anchor").alias("kind"), "id", F.col("turn").cast("int").alias("turn")))

@@ -158,16 +158,15 @@ def conditional_counts(spark, sf_dir):
 
 @query(
     "collapsed_duplicates",
-    f"""with b as (select distinct id, source_member, {sql_fold('question')} || chr(30) || coalesce(array_to_string(list_sort([{sql_fold('o')} for o in options]), chr(31)), '') k from zagreus_exam_bank_v1 where question is not null)
-    select min(id) as id, count(*) as rows, string_agg(id, ',' order by id) as provenance from b group by k having count(*) > 1""",
+    f"""with b as (select distinct id, source_member, {sql_fold('question')} || chr(30) || coalesce(array_to_string(list_sort([{sql_fold('o')} for o in options]), chr(31)), '') k from zagreus_exam_bank_v1 where question is not null),
+    r as (select id, source_member, min(id) over (partition by k) rep, count(*) over (partition by k) as rows from b) select id, source_member, rep, rows from r where rows > 1""",
 )
 def collapsed_duplicates(spark, sf_dir):
-    """One row per content key with the sorted ids it stands for."""
+    """Rows of repeated content keys with their representative and the number of rows."""
     rows = read_table(spark, sf_dir, "zagreus_exam_bank_v1").where("question is not null").select("id", "source_member", "question", "options").distinct()
     rows = rows.withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
     keyed = rows.select("id", "source_member", K.record_key(F.col("question"), F.col("options")).alias("key"))
-    found = G.collapse(keyed, "key", ["id", "source_member"]).where("rows > 1")
-    return found.select("id", "rows", F.array_join(F.transform("provenance", lambda s: s["id"]), ",").alias("provenance"))
+    return G.collapse(keyed, "key")[1].where("rows > 1").select("id", "source_member", "rep", "rows")
 
 
 @query(

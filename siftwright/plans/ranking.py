@@ -49,7 +49,7 @@ def apportioned_quotas(spark, sf_dir):
 @query("quota_sample", f"with {VALID_SQL}, {_quota_sql(f'select {TOTAL}::bigint total')}, r as (select v.id, domain, quota, row_number() over (partition by domain order by {_H.replace('id', 'v.id')}, v.id) k from valid v join quotas using (domain)) select id, domain from r where k <= quota")
 def quota_sample(spark, sf_dir):
     quotas = R.apportion_table(_weights(spark), spark.createDataFrame([(TOTAL,)], "total bigint"), SEED).select("domain", "quota")
-    return R.quota_by(valid_items(spark, sf_dir).select("id", "domain"), quotas, "domain", _order()).select("id", "domain")
+    return R.quota_by(valid_items(spark, sf_dir).select("id", "domain"), quotas, "domain", "id", _order()[0]).select("id", "domain")
 
 
 @query("largest_feasible_total", f"with {VALID_SQL}, {_quota_sql('select range::bigint total from range(100, 100001, 100)')}, a as (select domain, count(*) n from valid group by domain), f as (select total, bool_and(coalesce(n, 0) >= quota) ok from quotas left join a using (domain) group by total) select max(total) as total from f where ok")
@@ -101,6 +101,7 @@ def preferred_mix(spark, sf_dir):
 @query("round_robin", f"with {VALID_SQL}, s as (select id, domain, row_number() over (partition by domain order by {_H}, id) k from valid), r as (select id, row_number() over (order by k, sha256('rank-1:' || domain), domain) n from s) select id from r where n <= 75")
 def round_robin(spark, sf_dir):
     slots = valid_items(spark, sf_dir).select("id", "domain").withColumn("slot", F.row_number().over(Window.partitionBy("domain").orderBy(*_order())))
+    slots = slots.where("slot <= 75")  # a later slot cannot come up within 75 rows
     return R.round_robin(slots, 75, "domain", "slot", K.order_key(SEED, F.col("domain"))).select("id")
 
 
@@ -122,8 +123,8 @@ def split_leak_report(spark, sf_dir):
 
 @query("option_count_by_rank", f"with {VALID_SQL}, r as (select id, domain, row_number() over (partition by domain order by {_H}, id) k from valid) select id, case when k <= 20 then 3 when k <= 80 then 4 else 5 end as options from r")
 def option_count_by_rank(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(*_order()))
-    return valid_items(spark, sf_dir).select("id", "domain").withColumn("k", rank).select("id", R.rank_slices(F.col("k"), [(3, 20), (4, 60), (5, 0)]).alias("options"))
+    rows = R.rank_in_hash_order(valid_items(spark, sf_dir).select("id", "domain", _order()[0].alias("h")), ["domain"], "id", "h")
+    return rows.select("id", R.rank_slices(F.col("rank") + 1, [(3, 20), (4, 60), (5, 0)]).alias("options"))
 
 
 _SLOTS_SQL = f"{VALID_SQL}, c as (select id, ({sql_int("sha256('count:' || id)")} % 3 + 3)::int n from valid), s as (select id, n, ((row_number() over (partition by n order by {_H}, id) - 1) % n)::int slot from c)"
@@ -131,7 +132,7 @@ _SLOTS_SQL = f"{VALID_SQL}, c as (select id, ({sql_int("sha256('count:' || id)")
 
 def _slots(spark, sf_dir):
     rows = valid_items(spark, sf_dir).select("id", (K.hash_bucket(K.order_key("count", F.col("id")), 3) + 3).alias("n"))
-    return R.cyclic_slot(rows, "n", _order())
+    return R.cyclic_slot(rows, "n", "id", _order()[0])
 
 
 @query("balanced_slots", f"with {_SLOTS_SQL} select id, n, slot from s")
@@ -147,9 +148,8 @@ def slot_balance(spark, sf_dir):
 
 @query("gold_slot_balance", f"with {VALID_SQL} select id, ((row_number() over (partition by domain order by {_H}, id) - 1) % 4)::int as slot from valid")
 def gold_slot_balance(spark, sf_dir):
-    rows = valid_items(spark, sf_dir).select("id", "domain", F.lit(4).alias("four"))
-    w = F.row_number().over(Window.partitionBy("domain").orderBy(*_order())) - 1
-    return rows.select("id", (w % 4).cast("int").alias("slot"))
+    rows = R.rank_in_hash_order(valid_items(spark, sf_dir).select("id", "domain", _order()[0].alias("h")), ["domain"], "id", "h")
+    return rows.select("id", (F.col("rank") % 4).cast("int").alias("slot"))
 
 
 @query("epoch_mix", f"with {VALID_SQL}, s as (select id from valid where domain <> 'history'), a as (select id, row_number() over (order by sha256('mix:anchor:' || id), id) k, count(*) over () n from valid where domain = 'history'), w as (select ceil((select count(*) from s) * 20 / 80)::bigint want), x as (select id, unnest(range(0, ((want - k) // n + 1)::bigint)) turn from a, w where k <= want) select 'signal' as kind, id, 0::int as turn from s union all select 'anchor', id, turn::int from x")
@@ -188,6 +188,7 @@ def stale_evaluations(spark, sf_dir):
 @query("total_order", f"with {ITEMS_SQL} select id, row_number() over (partition by domain order by id)::int as place from items where domain is not null")
 def total_order(spark, sf_dir):
     """Place of each id within its domain in code point order."""
-    return items(spark, sf_dir).where("domain is not null").select("id", F.row_number().over(Window.partitionBy("domain").orderBy("id")).alias("place"))
+    rows = items(spark, sf_dir).where("domain is not null").select("id", "domain")
+    return R.place_in_order(rows, "domain", "id").select("id", F.col("place").cast("int").alias("place"))
 
 

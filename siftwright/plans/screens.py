@@ -118,7 +118,8 @@ def near_dup_families(spark, sf_dir):
 @query(
     "family_ids",
     f"""with recursive {_FAMILY_SQL}, p as (select doc_id, coalesce(root, doc_id) r from documents left join fam on id = doc_id),
-    g as (select r, sha256(array_to_string(list_sort(list(doc_id::varchar)), chr(10))) group_id from p group by r) select doc_id, group_id from p join g using (r)""",
+    h as (select r, substr(sha256(doc_id::varchar), 1, 3) b, sha256(array_to_string(list_sort(list(doc_id::varchar)), chr(10))) part from p group by 1, 2),
+    g as (select r, sha256(array_to_string(list_sort(list(b || part)), chr(10))) group_id from h group by r) select doc_id, group_id from p join g using (r)""",
 )
 def family_ids(spark, sf_dir):
     ids = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))

@@ -225,6 +225,10 @@ def test_gates(spark):
 def test_quota_ties_and_nulls(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("c", None, 1), ("d", "y", 0)], "id string, d string, k int")
     q = spark.createDataFrame([("x", 1), ("y", 5), ("z", 3)], "d string, quota bigint")
-    assert {r.id for r in ranking.quota_by(df, q, "d", ["k", "id"]).collect()} == {"a", "d"}
+    assert {r.id for r in ranking.quota_by(df, q, "d", "id", F.md5(F.lit("same"))).collect()} == {"a", "d"}
+    assert {r.id for r in ranking.first_by(df, ["d"], "k", "id").collect()} == {"a", "c", "d"}
+    ranked = ranking.rank_in_hash_order(df.withColumn("h", F.md5("id")), ["k"], "id", "h").collect()
+    assert {(r.k, r["rank"]) for r in ranked} == {(1, 0), (1, 1), (1, 2), (0, 0)} and {r.group_rows for r in ranked} == {3, 1}
+    assert {(r.id, r.place) for r in ranking.place_in_order(df, "k", "id").collect()} == {("a", 1), ("b", 2), ("c", 3), ("d", 1)}
     assert [r.id for r in ranking.top_k(df, 2, "k", "id").orderBy("rank").collect()] == ["d", "a"]
     assert df.groupBy().agg(F.count("*")).first()[0] == 4
