@@ -154,11 +154,15 @@ def allocate_whole_groups(groups: DataFrame, quotas: Mapping[str, int], rest: st
     """``(domain, group_id, split)``: exact quotas of whole groups per domain, the others to ``rest``.
 
     ``groups (domain, group_id, n)`` has one row per group. A domain in which
-    some quota cannot be met exactly is left out. Groups enter a quota in hash
-    order; only as many as can matter are looked at, since sums end at the target.
+    some quota cannot be met exactly is left out. A subset of sum T holds at
+    most T / n groups of size n, whichever they are, so of each size only that
+    many groups, the first in hash order, go into the search: a bounded number
+    per domain, however many groups it has.
     """
     import hashlib
 
+    total, most = sum(quotas.values()), max(quotas.values())
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         domain = pdf["domain"].iloc[0]
         free = dict(zip(pdf["group_id"], pdf["n"]))
@@ -171,9 +175,15 @@ def allocate_whole_groups(groups: DataFrame, quotas: Mapping[str, int], rest: st
             chosen.update(dict.fromkeys(got, split))
             for g in got:
                 free.pop(g)
-        return pd.DataFrame({"domain": domain, "group_id": [*chosen, *free], "split": [*chosen.values(), *[rest] * len(free)]})
-
-    return groups.groupBy("domain").applyInPandas(one, "domain string, group_id string, split string")
+        return pd.DataFrame({"domain": domain, "group_id": [*chosen], "split": [*chosen.values()]})
+
+    fit = groups.where((F.col("n") > 0) & (F.col("n") <= most)).withColumn("_h", order_key(seed, F.col("domain"), F.col("group_id")))
+    sizes = fit.select("domain", "n").distinct().withColumn("quota", F.floor(F.lit(total) / F.col("n")).cast("bigint"))
+    candidates = take_lowest(fit, sizes, ["domain", "n"], "group_id", "_h").select("domain", "group_id", "n")
+    chosen = candidates.groupBy("domain").applyInPandas(one, "domain string, group_id string, split string")
+    done = F.broadcast(chosen.select("domain").distinct())
+    others = groups.join(done, "domain").select("domain", "group_id").join(chosen.select("domain", "group_id"), ["domain", "group_id"], "left_anti")
+    return chosen.unionByName(others.withColumn("split", F.lit(rest)))
 
 
 def sequential_quota(rows: DataFrame, domains: Sequence[tuple[str, int]], signature: str, order: list[Column | str]) -> DataFrame:
