@@ -1,12 +1,13 @@
-"""Shared pieces: folding, hash order, cuts at an exact rank, dense ranks."""
+"""Shared pieces: folding and hash order; cuts at an exact rank and dense ranks come from the core."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Hex digits of the hash that name a bucket: 16**3 buckets for each category.
-BUCKET_DIGITS = 3
+from siftwright.operators.ranking import BUCKET_DIGITS, rank_in_hash_order, take_lowest
+
+__all__ = ["BUCKET_DIGITS", "fold", "hash_hex", "rank_in_hash_order", "take_lowest"]
 
 
 def fold(c: Column | str) -> Column:
@@ -18,52 +19,3 @@ def fold(c: Column | str) -> Column:
 def hash_hex(seed: str, *parts: Column) -> Column:
     """A 128-bit hash as hex text: the same on every run, layout and engine."""
     return F.md5(F.concat_ws("\x1f", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]).cast("binary"))
-
-
-def take_lowest(df: DataFrame, quotas: DataFrame, by: list[str], key: str, order: str = "h") -> DataFrame:
-    """The ``quota`` rows of lowest ``order`` hash in each group ``by``.
-
-    ``df`` has the columns ``by``, ``key`` (the tie-break, unique within a
-    group) and ``order`` (hex text); ``quotas`` has ``by`` and ``quota``, one
-    row per group, and is small: it holds categories, not records.
-
-    No global sort: hash buckets are counted, the bucket in which the quota
-    runs out is found for each group, whole buckets below it are taken as they
-    are, and only that one bucket is ranked.
-    """
-    rows = df.withColumn("_bucket", F.substring(order, 1, BUCKET_DIGITS))
-    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_bucket") if by else Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    cum = counts.withColumn("_upto", F.sum("_n").over(upto))
-    joined = cum.join(quotas, by, "inner") if by else cum.crossJoin(quotas.limit(1))
-    # the first bucket whose running count reaches the quota, and what is left for it
-    cut = joined.where(F.col("_upto") - F.col("_n") < F.col("quota")).groupBy(*by).agg(
-        F.max(F.struct("_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("left"))).alias("_cut")
-    )
-    with_cut = rows.join(F.broadcast(cut), by, "inner") if by else rows.crossJoin(F.broadcast(cut))
-    below = with_cut.where(F.col("_bucket") < F.col("_cut._bucket"))
-    at = with_cut.where(F.col("_bucket") == F.col("_cut._bucket"))
-    w = Window.partitionBy(*by, "_bucket").orderBy(order, key)
-    at = at.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_cut.left"))
-    return below.drop("_bucket", "_cut").unionByName(at.drop("_bucket", "_cut", "_rank"))
-
-
-def dense_rank_in_hash_order(df: DataFrame, by: list[str], key: str, order: str = "h") -> DataFrame:
-    """Adds ``rank`` (0-based) and ``group_rows``: the position of each row of a
-    group in hash order.
-
-    Ranks are made from bucket offsets and a rank within the bucket, so the
-    largest group is spread over as many tasks as it has buckets.
-    """
-    rows = df.withColumn("_bucket", F.substring(order, 1, BUCKET_DIGITS))
-    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    offsets = counts.select(
-        *by, "_bucket",
-        (F.sum("_n").over(w.orderBy("_bucket")) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(w).alias("group_rows"),
-    )
-    within = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(order, key)))
-    return within.join(offsets, [*by, "_bucket"]).select(
-        *df.columns, (F.col("_offset") + F.col("_rank") - 1).alias("rank"), "group_rows"
-    )

@@ -42,7 +42,7 @@ def advance(ledger: DataFrame | None, keys: DataFrame, rate: float, seed: str) -
         F.greatest(F.lit(0), F.ceil(F.lit(rate) * (F.col("seen") + F.col("new"))) - F.col("chosen")).alias("quota")
     )
     hashed = unseen.withColumn("h", hash_hex(seed, F.col("key")))
-    taken = take_lowest(hashed, quota, [], "key").select("key", F.lit(True).alias("chosen"))
+    taken = take_lowest(hashed, quota, [], "key", "h").select("key", F.lit(True).alias("chosen"))
     decided = unseen.join(taken, "key", "left").select(
         "key", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.col("snapshot_no").alias("entered")
     )

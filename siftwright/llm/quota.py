@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import dense_rank_in_hash_order, fold, hash_hex
+from siftwright.llm.common import fold, hash_hex, rank_in_hash_order
 from siftwright.session import read_table
 
 #: Parent of each category. A category that is not listed is a family of its own.
@@ -114,7 +114,7 @@ def draw(people: DataFrame, quotas: DataFrame, seed: str = "quota-1") -> DataFra
     ``a`` 1 or -1 and ``b`` from q: one to one for every n, so quotas are met
     exactly, and requests start at different places of the hash order.
     """
-    ranked = dense_rank_in_hash_order(people.withColumn("h", hash_hex(seed, F.col("id"))), ["domain"], "id")
+    ranked = rank_in_hash_order(people.withColumn("h", hash_hex(seed, F.col("id"))), ["domain"], "id", "h")
     # one row per request and domain: bounded by the targets table
     wanted = F.broadcast(quotas.where("quota > 0").select("request_id", "domain", "quota"))
     rows = ranked.join(wanted, "domain")

@@ -49,7 +49,7 @@ def test_take_lowest_is_exact(spark):
     df = spark.createDataFrame([(f"c{i % 3}", f"k{i}") for i in range(900)], "c string, k string")
     df = df.withColumn("h", hash_hex("x", df.k))
     quotas = spark.createDataFrame([("c0", 17), ("c1", 0), ("c2", 5000)], "c string, quota bigint")
-    got = take_lowest(df, quotas, ["c"], "k").collect()
+    got = take_lowest(df, quotas, ["c"], "k", "h").collect()
     ranked = sorted((r.h, r.k) for r in df.where("c = 'c0'").collect())[:17]
     assert sorted((r.h, r.k) for r in got if r.c == "c0") == ranked
     assert sum(r.c == "c1" for r in got) == 0 and sum(r.c == "c2" for r in got) == 300
