@@ -208,3 +208,28 @@ def cosine_hits(rows: DataFrame, queries: DataFrame, threshold: float | None, by
 def unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+
+def containment_pairs(rows: DataFrame, threshold: float, min_size: int, by: list[str], spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Exact containment self join within ``by``: ``pairs (a, b, score, by)`` of class representatives, and ``members``.
+
+    The score is the overlap over the smaller set; sets of fewer than
+    ``min_size`` tokens have no partner. A set that is contained to the
+    threshold shares one of its few rarest tokens with the other, so only those
+    are looked up in the whole of the other sets. A pair is listed once, ``a < b``.
+    """
+    scratch = Scratch(spark, "containment")
+    members, reps = set_classes(scratch.cut(rows.select("id", *by, "tokens")), by)
+    reps = scratch.cut(reps.where(F.size("tokens") >= min_size))
+    tokens = reps.select("id", *by, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    df = tokens.groupBy(*by, "t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(df, [*by, "t"]).withColumn("k", F.row_number().over(Window.partitionBy("id", *by).orderBy("df", "t")))
+    few = ranked.where((F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
+    small = few.select(F.col("id").alias("x"), *by, F.col("n").alias("nx"), "t")
+    large = tokens.select(F.col("id").alias("y"), *by, F.col("n").alias("ny"), "t")
+    met = small.join(large, [*by, "t"]).where("x <> y and nx <= ny").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *by).distinct()
+    sets = reps.select("id", *by, "tokens")
+    full = met.join(sets.withColumnRenamed("id", "a").withColumnRenamed("tokens", "ta"), ["a", *by])
+    full = full.join(sets.withColumnRenamed("id", "b").withColumnRenamed("tokens", "tb"), ["b", *by])
+    score = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
+    return full.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "score", *by), members

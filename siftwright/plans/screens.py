@@ -146,6 +146,20 @@ def family_propagated_removal(spark, sf_dir):
     return P.remove_families(rows, rows.where("verdict = 'match'"), "root").select("doc_id", "verdict")
 
 
+@query(
+    "containment_pairs",
+    f"""with {VALID_SQL}, w as (select id, domain, list_sort(list_distinct({sql_words('question')})) w from valid), m as (select id, domain, w, min(id) over (partition by domain, w) rep from w),
+    r as (select id, domain, len(w) n, unnest(w) t from m where id = rep and len(w) >= {MIN_WORDS}),
+    h as (select a.id a, b.id b, any_value(a.domain) domain, count(*) c, any_value(a.n) n, any_value(b.n) m from r a join r b on a.domain = b.domain and a.t = b.t and a.id < b.id group by a.id, b.id)
+    select a, b, domain, round(c / least(n, m), 9) as score from h where c / least(n, m) >= {CONTAINMENT}""",
+)
+def containment_pairs(spark, sf_dir):
+    """Pairs of items of a domain of which one question's content words contain the other's."""
+    rows = valid_items(spark, sf_dir).select("id", "domain", F.array_distinct(X.content_words(X.norm_fold(F.col("question")))).alias("tokens"))
+    pairs = simjoin.containment_pairs(rows, CONTAINMENT, MIN_WORDS, ["domain"], spark)[0]
+    return pairs.select("a", "b", "domain", F.round("score", 9).alias("score"))
+
+
 _VEC = "e as (select vec_id, label, [x::double for x in embedding] v, sqrt(list_sum([x::double * x::double for x in embedding])) n from embeddings)"
 
 

@@ -62,6 +62,18 @@ def test_jaccard_pairs(spark, threshold):
     assert {(r.a, r.b) for r in pairs.collect()} == expected
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_containment_pairs(spark, threshold):
+    rows = sets(120, 9, 30)
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>, d string")
+    pairs, members = simjoin.containment_pairs(df, threshold, 3, ["d"], spark)
+    known = {i: (set(t), d) for i, t, d in rows if t and d}
+    reps = sorted(set(r.rep for r in members.collect()))
+    expected = {(a, b) for a in reps for b in reps if a < b and known[a][1] == known[b][1] and min(len(known[a][0]), len(known[b][0])) >= 3
+                and len(known[a][0] & known[b][0]) / min(len(known[a][0]), len(known[b][0])) >= threshold}
+    assert {(r.a, r.b) for r in pairs.collect()} == expected and expected
+
+
 def test_cosine(spark):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(60)] + [(100, None, 0), (101, [], 0), (102, [0.0] * 6, 0)]
