@@ -295,7 +295,7 @@ def without_span(text: str, spans: list) -> str:
 def remove_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:
     """``(doc_id, text)`` of the leaking documents, the lines of leaked passages removed."""
     spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))
-    cut = F.udf(without_span, "string")
+    cut = F.udf(without_span, "string", useArrow=True)
     return documents.join(spans, "doc_id").select("doc_id", cut("text", "spans").alias("text"))
 
 

@@ -15,7 +15,7 @@ each wrong one left out in turn, so a bucket stays small. Evaluation hashes are
 joined with training hashes, and the words and options of each pair of
 records that share an anchor decide.
 
-The list of common words is the only thing collected: words in at least one of
+The list of frequent words is the only thing collected: words in at least one of
 ``COMMON_SHARE`` of the questions, of which there can be no more than words in
 a question times ``COMMON_SHARE``.
 """
@@ -184,8 +184,8 @@ def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> boo
     return 2 * sum((ca & cb).values()) >= max(len(wa), len(wb))
 
 
-def anchors(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Series, common: frozenset) -> pd.Series:
-    """Join keys of an item: hashes of anchor, right answer and numbers (and options for common anchors)."""
+def anchors(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Series, frequent: frozenset) -> pd.Series:
+    """Join keys of an item: hashes of anchor, right answer and numbers (and options for frequent anchors)."""
     import xxhash
 
     def h(*parts: str) -> int:
@@ -196,10 +196,10 @@ def anchors(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Seri
         wr = list(wr)
         base = r + "\x1e" + " ".join(sorted(w for w, k in zip(ws, ks) if k == "d"))
         rest = {w for w, k in zip(ws, ks) if k != "d"}
-        chosen = sorted(rest, key=lambda w: (w in common, xxhash.xxh64_intdigest(w), w))[:ANCHORS]
+        chosen = sorted(rest, key=lambda w: (w in frequent, xxhash.xxh64_intdigest(w), w))[:ANCHORS]
         keys = []
         for w in chosen or [""]:
-            if w in common or not w:
+            if w in frequent or not w:
                 keys += [h(base, w, *(wr[:i] + wr[i + 1:])) for i in range(len(wr))]
             else:
                 keys.append(h(base, w))
@@ -207,19 +207,21 @@ def anchors(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Seri
     return pd.Series(out)
 
 
-def common_words(items: DataFrame) -> frozenset:
-    """Ordinary words that at least one canonical question in ``COMMON_SHARE`` holds.
+def common_words(items: DataFrame) -> tuple[frozenset, frozenset]:
+    """Words that at least one canonical question in ``COMMON_SHARE`` holds, and the ordinary ones of them.
 
-    Counted over all items; a word that is mostly written as a name is not
-    ordinary. The result has at most words-per-question * COMMON_SHARE entries.
+    Counted over all items; a word that is mostly written as a name is frequent
+    but not ordinary. There can be no more than words-per-question *
+    COMMON_SHARE frequent words.
     """
     n = items.count()
     spread = items.select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.split("kinds", "").alias("k"))).alias("x"))
     counted = spread.groupBy(F.col("x.w").alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("x.k") == "o").alias("o"), F.count_if(F.col("x.k").isin("n", "d", "q")).alias("other")
     )
-    often = counted.where((F.col("n") >= max(2, n // COMMON_SHARE)) & (F.col("o") >= 4 * F.col("other")) & (F.col("o") + F.col("other") > 0))
-    return frozenset(r[0] for r in often.select("w").collect())
+    ordinary = (F.col("o") >= 4 * F.col("other")) & (F.col("o") + F.col("other") > 0)
+    often = counted.where(F.col("n") >= max(2, n // COMMON_SHARE)).select("w", ordinary.alias("ordinary")).collect()
+    return frozenset(r.w for r in often), frozenset(r.w for r in often if r.ordinary)
 
 
 def find_overlaps(items: DataFrame, spark: SparkSession, training: str = TRAINING) -> DataFrame:
@@ -244,11 +246,11 @@ def find_overlaps(items: DataFrame, spark: SparkSession, training: str = TRAININ
     classes = scratch.cut(records.groupBy(*cls).agg(
         F.min(F.struct("id", *body)).alias("m"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"),
     ).select(*cls, *["m." + c for c in body], "in_train", "in_eval"))
-    common = common_words(classes)
-    sent = spark.sparkContext.broadcast(common)
+    frequent, ordinary = common_words(classes)
+    ranked_last, known_words = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(ordinary)
 
     def keys_of(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Series) -> pd.Series:
-        return anchors(words, kinds, right, wrong, sent.value)
+        return anchors(words, kinds, right, wrong, ranked_last.value)
 
     keys = F.pandas_udf(keys_of, "array<bigint>")("words", "kinds", "right", "wrong")
     keyed = scratch.cut(classes.select(*cls, "in_train", "in_eval", keys.alias("keys"))).select(*cls, "in_train", "in_eval", F.explode("keys").alias("key"))
@@ -259,7 +261,7 @@ def find_overlaps(items: DataFrame, spark: SparkSession, training: str = TRAININ
     pairs = pairs.join(classes.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), *[F.col(c).alias("t_" + c) for c in body]), ["t1", "t2"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = known_words.value
         for batch in batches:
             col = {f: batch.column(f).to_pylist() for f in batch.schema.names}
             keep = [
