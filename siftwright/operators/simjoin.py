@@ -214,13 +214,14 @@ def containment_pairs(rows: DataFrame, threshold: float, min_size: int, by: list
     """Exact containment self join within ``by``: ``pairs (a, b, score, by)`` of class representatives, and ``members``.
 
     The score is the overlap over the smaller set; sets of fewer than
-    ``min_size`` tokens have no partner. A set that is contained to the
+    ``min_size`` tokens are left out. A set that is contained to the
     threshold shares one of its few rarest tokens with the other, so only those
     are looked up in the whole of the other sets. A pair is listed once, ``a < b``.
     """
     scratch = Scratch(spark, "containment")
-    members, reps = set_classes(scratch.cut(rows.select("id", *by, "tokens")), by)
-    reps = scratch.cut(reps.where(F.size("tokens") >= min_size))
+    large_enough = rows.select("id", *by, "tokens").where(F.size(F.array_distinct("tokens")) >= min_size)
+    members, reps = set_classes(scratch.cut(large_enough), by)
+    reps = scratch.cut(reps)
     tokens = reps.select("id", *by, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     df = tokens.groupBy(*by, "t").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(df, [*by, "t"]).withColumn("k", F.row_number().over(Window.partitionBy("id", *by).orderBy("df", "t")))

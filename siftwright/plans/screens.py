@@ -160,6 +160,30 @@ def containment_pairs(spark, sf_dir):
     return pairs.select("a", "b", "domain", F.round("score", 9).alias("score"))
 
 
+@query(
+    "item_families",
+    f"""with recursive {VALID_SQL}, w as (select id, domain, {sql_fold('question')} q, {sql_words('question')} w from valid),
+    s as (select id, domain, q, list_distinct(w) c, {SHINGLES} s from w),
+    se as (select id, domain, len(s) n, unnest(s) t from s), ce as (select id, domain, len(c) n, unnest(c) t from s where len(c) >= {MIN_WORDS}),
+    j as (select a.id a, b.id b from se a join se b on a.domain = b.domain and a.t = b.t and a.id < b.id group by a.id, b.id having count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= {JACCARD}),
+    k as (select a.id a, b.id b from ce a join ce b on a.domain = b.domain and a.t = b.t and a.id < b.id group by a.id, b.id having count(*) / least(any_value(a.n), any_value(b.n)) >= {CONTAINMENT}),
+    e as (select a, b from j union select a, b from k union select min(id) over (partition by domain, q), id from s), sym as (select a, b from e where a <> b union select b, a from e where a <> b),
+    walk(id, root) as (select a, a from sym union select b.b, w.root from walk w join sym b on b.a = w.id) select id, min(root) as root from walk group by id""",
+)
+def item_families(spark, sf_dir):
+    """Families of items of a domain: equal questions, shingle Jaccard and word containment, closed transitively."""
+    rows = valid_items(spark, sf_dir).select("id", "domain", X.norm_fold(F.col("question")).alias("q"))
+    rows = rows.withColumn("w", X.content_words(F.col("q")))
+    rows = Scratch(spark, "items").cut(rows.select("id", "domain", "q", X.word_shingles(F.col("w")).alias("s"), F.array_distinct("w").alias("c")))
+    first = rows.groupBy("domain", "q").agg(F.min("id").alias("a"))
+    edges = rows.join(first, ["domain", "q"]).where("a <> id").select("a", F.col("id").alias("b"))
+    screens = (simjoin.jaccard_pairs(rows.select("id", "domain", F.col("s").alias("tokens")), JACCARD, ["domain"], spark),
+               simjoin.containment_pairs(rows.select("id", "domain", F.col("c").alias("tokens")), CONTAINMENT, MIN_WORDS, ["domain"], spark))
+    for pairs, members in screens:
+        edges = edges.union(pairs.select("a", "b")).union(members.where("id <> rep").select("rep", "id"))
+    return graph.connected_components(edges, spark)
+
+
 _VEC = "e as (select vec_id, label, [x::double for x in embedding] v, sqrt(list_sum([x::double * x::double for x in embedding])) n from embeddings)"
 
 
