@@ -189,9 +189,14 @@ def key_conflicts(spark, sf_dir):
     return G.key_conflicts(rows, "h", "g")
 
 
-@query("cross_domain_keys", f"with {_KEYED_SQL} select sha256(q) as h, count(distinct domain) as values, count(*) as rows from k group by q having count(distinct domain) > 1")
+@query(
+    "cross_domain_keys",
+    f"""with k as (select domain, sha256({sql_fold('text')}) h from documents where text is not null)
+    select h, count(distinct domain) as values, count(*) as rows from k group by h having count(distinct domain) > 1""",
+)
 def cross_domain_keys(spark, sf_dir):
-    rows = valid_items(spark, sf_dir).select(K.question_hash(F.col("question")).alias("h"), "domain")
+    """Texts that stand in more than one domain."""
+    rows = read_table(spark, sf_dir, "documents").where("text is not null").select(K.question_hash(F.col("text")).alias("h"), "domain")
     return G.key_conflicts(rows, "h", "domain")
 
 
