@@ -49,20 +49,41 @@ _TOKEN = re.compile(r"[^\W_]+")
 _QUOTED = re.compile(r"[«“\"„‹]\s*([^\W_]+)\s*[»”\"“›]")
 _INTRO = re.compile(r"^\W*(?:\([^()]{1,60}\)|\[[^\[\]]{1,60}\]|[^.:!?]{1,60}[.:!])\s+(?=\S)")
 
+_LABEL = r"(?:domanda|quesito|esercizio|item|question|frage|pregunta)"
+#: A number or letter that only counts items: ``12)``, ``(12)``, ``12.``, ``12 -``, ``b)``, ``IV)``, ``n. 12:``, ``Domanda 12``.
+#: Not a capital with a stop before a name (an initial), nor a number that belongs to the sentence (``1440 - ``, ``3.5``, a German date).
+_ENUMERATOR = re.compile(
+    rf"^[\W_]*(?:{_LABEL}\s*(?:n\s*[.°º]?\s*)?\d{{1,4}}(?!\w)\s*[).\]:–—-]*|n(?:r|um)?\s*[.°º]\s*\d{{1,4}}\s*[).\]:–—-]+"
+    r"|[(\[](?:\d{1,3}|[a-z])[)\]]|(?:\d{1,3}|[a-z]|[ivxl]{2,5})\s*\)|\d{1,3}\s*[:–—-](?=\s*[^\W\d_]{2})"
+    r"|\d{1,3}\s*\.(?!\s*(?:januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|jahrhundert)\b)"
+    r"|[a-z]\s+[–—-](?=\s)|(?-i:[a-z])\.(?=\s)"
+    r"|[a-z]\.(?=\s+(?:chi|che|cosa|come|dove|quando|perché|qual[ei]?|quant[oaie]|indica(?:re)?|individua(?:re)?|scegli|completa|who|what|which|when|where|why|how)\b))"
+    r"\s*(?=\W*[^\W\d_]|[(\[]?\d{1,3}\s*[).\]])",
+    re.IGNORECASE,
+)
+
 
 def clean(text: str) -> str:
     return _INVISIBLE.sub("", unescape_all(text))
 
 
+def without_enumerator(text: str) -> str:
+    """``text`` without the item numbers it begins with, if a question is left."""
+    while (m := _ENUMERATOR.match(text)) and len(_TOKEN.findall(text[m.end():])) > 1:
+        text = text[m.end():]
+    return text
+
+
 def without_intro(text: str) -> str:
-    """``text`` without leading bracketed phrases and short leading sentences, if a question is left."""
+    """``text`` without leading item numbers, bracketed phrases and short leading sentences, if a question is left."""
+    text = without_enumerator(text)
     for _ in range(3):
         m = _INTRO.match(text)
         if not m or len(_TOKEN.findall(text[m.end():])) < 4 or any(ch.isdigit() or ch in "«»\"" for ch in m[0]):
             break
         if len(_TOKEN.findall(m[0])) > (4 if m[0].rstrip().endswith(":") else 7):
             break
-        text = text[m.end():]
+        text = without_enumerator(text[m.end():])
     return text
 
 

@@ -85,3 +85,16 @@ def test_slips():
     assert not O.slip("perse", "lesse")
     assert O.same_options(["a", "b", "c"], ["a", "b", "c"])
     assert not O.same_options(["a", "b", "c"], ["a", "b", "d"])
+
+
+ENUMERATORS = ["12) ", "12. ", "12 - ", "(12) ", "[7] ", "b) ", "B) ", "B. ", "c. ", "IV) ", "n. 12: ", "Domanda 12: ", "Quesito n. 3 - ", "Domanda a risposta unica. 12) "]
+
+
+def test_leading_item_numbers(spark):
+    rows = [row("t", O.TRAINING), row("t9", O.TRAINING, "9) " + Q)] + [row(f"e{k}", "proxy_dev", p + Q) for k, p in enumerate(ENUMERATORS)]
+    assert found(spark, rows) == {(t, f"e{k}") for t in ("t", "t9") for k in range(len(ENUMERATORS))}
+
+
+def test_numbers_that_are_no_item_numbers():
+    for text in ("1440 - anno di Carta", "3.5 litri di acqua sono quanti?", "12. Oktober 1492: wer landete?", "D. Tolli scrisse quale libro?", "5 - 3 quanto fa?", "12 navi salparono da dove?"):
+        assert O.without_enumerator(text) == text
