@@ -14,11 +14,13 @@ Nothing is gathered about the documents; there is no shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,15 @@ from siftwright.functions.pytext import strip_marks, unescape_all
 from siftwright.session import read_table
 
 #: Words of an n-gram.
-NGRAM = 5
-#: Hits in one diagonal band, or two neighbouring ones, from which a passage is aligned.
+NGRAM = 3
+#: A passage is aligned where one diagonal band, or two neighbouring ones, hold ``MIN_HITS`` hits of ``MIN_BITS``
+#: together that lie ``MIN_SPREAD`` words apart, or ``SOME_HITS`` of ``MIN_BITS``, or ``MANY_HITS``. Eighteen words
+#: with three changed keep seven hits.
 MIN_HITS = 4
+MIN_SPREAD = 9
+SOME_HITS = 7
+MANY_HITS = 12
+MIN_BITS = 8.0
 #: Width of a diagonal band in words: how far insertions may shift a passage.
 BAND = 24
 #: An alignment counts from this score (matched words less half of the words skipped) ...
@@ -39,6 +47,15 @@ SURE_SCORE = 18.0
 #: ... or from this one if it spans ``MIN_SPAN`` words and holds a word that few items have.
 FAIR_SCORE = 12.5
 MIN_SPAN = 16
+#: ... or if, with ends carried on over changed words, it spans ``MIN_STRETCH`` words, ``MIN_SHARE`` of them matched,
+#: and matched words and bits together reach ``MIN_TOLD``. Bits count what the benchmark leaves open after two words of
+#: a passage: none inside a phrase of many items, several where one phrase or name follows another.
+MIN_STRETCH = 15
+MIN_SHARE = 0.72
+MIN_TOLD = 26.0
+#: From this span and this share on, matched words need tell nothing.
+LONG_STRETCH = 17
+LONG_SHARE = 0.82
 #: A word is particular to an item if no more items than this have it.
 PARTICULAR_ITEMS = 2
 #: Longest gap, in words, that an alignment bridges.
@@ -80,17 +97,28 @@ class PassageIndex:
                 total += spread[t] <= PARTICULAR_ITEMS
                 sums.append(total)
             self.particular.append(sums)
-        hashes, owner, place = [], [], []
+        spread2 = Counter(g for row in self.ids for g in set(zip(row, row[1:])))
+        spread3 = Counter(g for row in self.ids for g in set(zip(row, row[1:], row[2:])))
+        self.bits = []  # of every passage, bits of its first n three-word stretches
+        for row in self.ids:
+            total, sums = 0.0, [0.0]
+            for g in zip(row, row[1:], row[2:]):
+                total += math.log2(spread2[g[:2]] / spread3[g])
+                sums.append(total)
+            self.bits.append(sums)
+        hashes, owner, place, weight = [], [], [], []
         for k, row in enumerate(self.ids):
             if len(row) >= NGRAM:
                 h = ngram_hashes(np.asarray(row, dtype=np.uint64))
                 hashes.append(h)
                 owner.append(np.full(len(h), k, dtype=np.int64))
                 place.append(np.arange(len(h), dtype=np.int64))
+                weight.append(np.diff(np.asarray(self.bits[k])))
         h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         self.owner = (np.concatenate(owner) if hashes else np.empty(0, dtype=np.int64))[order]
         self.place = (np.concatenate(place) if hashes else np.empty(0, dtype=np.int64))[order]
+        self.weight = (np.concatenate(weight) if hashes else np.empty(0))[order]
         self.unique, self.start, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self._stretches: dict[int, dict] = {}
 
@@ -104,13 +132,15 @@ class PassageIndex:
             self._stretches[k] = found
         return found
 
-    def align(self, k: int, window: list[int]) -> tuple[float, int, int, int, int]:
+    def align(self, k: int, window: list[int]) -> tuple[float, int, int, int, int, int, float]:
         """Best chain of matching stretches of passage k in ``window``.
 
-        Returns score, particular words in it, span in the passage, and where
-        it begins and ends in the window.
+        Returns score, particular words in it, span in the passage, where it
+        begins and ends in the window, words matched and bits of the stretches in it.
+        The ends are carried on over single changed words; the score is that
+        of the chain without them.
         """
-        index, particular = self.stretches(k), self.particular[k]
+        index, particular, bits, row = self.stretches(k), self.particular[k], self.bits[k], self.ids[k]
         segments: list[list[int]] = []
         running: dict[int, list[int]] = {}
         for d in range(len(window) - 2):
@@ -124,11 +154,12 @@ class PassageIndex:
                     running[p - d] = s = [p, d, 3]
                     segments.append(s)
         segments.sort(key=lambda s: (s[1], s[0]))
-        top = (0.0, 0, 0, 0, 0)
+        top = (0.0, 0, 0, 0, 0, 0, 0)
         chains: list[tuple] = []
         for j, (p, d, n) in enumerate(segments):
             own = particular[p + n] - particular[p]
-            best = (n, own, p, d)
+            told = bits[p + n - 2] - bits[p]
+            best = (n, own, p, d, n, told)
             for q in range(j - 1, -1, -1):
                 p0, d0, n0 = segments[q]
                 if d - d0 > 400:
@@ -140,11 +171,18 @@ class PassageIndex:
                 lap = max(0, -gap_p, -gap_d)
                 score = b[0] + n - lap - 0.5 * max(gap_p, gap_d, 0)
                 if score > best[0]:
-                    best = (score, b[1] + own, b[2], b[3])
+                    same = sum(map(eq, row[p0 + n0 : p], window[d0 + n0 : d])) if gap_p == gap_d > 1 else 0
+                    best = (score, b[1] + own, b[2], b[3], b[4] + n - lap + same, b[5] + told)
             chains.append(best)
             if best[0] > top[0]:
-                top = (best[0], best[1], p + n - best[2], best[3], d + n)
-        return top
+                top = (best[0], best[1], p + n - best[2], best[3], d + n, best[4], best[5], best[2])
+        if not top[0]:
+            return top
+        score, own, span, first, end, matched, told, p = top
+        more, at_p, at_d = carried_on(row[p + span :], window[end:])
+        less, to_p, to_d = carried_on(row[:p][::-1], window[:first][::-1])
+        own += particular[p + span + at_p] - particular[p + span] + particular[p] - particular[p - to_p]
+        return score, own, span + at_p + to_p, first - to_d, end + at_d, matched + more + less, told
 
     def scan(self, docs: list[list[str]]) -> list[tuple[int, int, float, int, int]]:
         """``(doc position, item position, score, first word, end word)`` of every leak."""
@@ -173,28 +211,61 @@ class PassageIndex:
         which = np.repeat(np.arange(len(at)), n)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         entry = self.start[slot][which] + inside
-        at, item, place = at[which], self.owner[entry], self.place[entry]
+        at, item, place, weight = at[which], self.owner[entry], self.place[entry], self.weight[entry]
         begin = np.asarray(starts, dtype=np.int64)
         doc = np.searchsorted(begin, at, side="right") - 1
         band = (at - begin[doc] - place) // BAND + (1 << 20)
         pair = doc * len(self.items) + item
-        keys, hits = np.unique((pair << 24) | band, return_counts=True)
-        follows = np.zeros(len(hits), dtype=np.int64)
-        follows[:-1] = np.where(keys[1:] == keys[:-1] + 1, hits[1:], 0)
+        key = (pair << 24) | band
+        order = np.argsort(key, kind="stable")
+        place, weight = place[order], weight[order]
+        keys, begins, hits = np.unique(key[order], return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(place, begins), np.maximum.reduceat(place, begins)
+        next_is = np.flatnonzero(keys[1:] == keys[:-1] + 1)
+        both, least, most, told = hits.copy(), low.copy(), high.copy(), np.add.reduceat(weight, begins)
+        told[next_is] += told[next_is + 1].copy()
+        both[next_is] += hits[next_is + 1]
+        least[next_is] = np.minimum(low[next_is], low[next_is + 1])
+        most[next_is] = np.maximum(high[next_is], high[next_is + 1])
+        candidates = (told >= MIN_BITS) & ((both >= SOME_HITS) | ((both >= MIN_HITS) & (most - least >= MIN_SPREAD)))
+        candidates |= both >= MANY_HITS
         found: dict[int, tuple] = {}
-        for key in keys[hits + follows >= MIN_HITS].tolist():
+        for key in keys[candidates].tolist():
             pair, band = key >> 24, (key & 0xFFFFFF) - (1 << 20)
             d, k = divmod(pair, len(self.items))
             lo = max(0, band * BAND - BAND)
             hi = min(len(docs[d]), (band + 3) * BAND + len(self.ids[k]))
             window = ids[starts[d] + lo : starts[d] + hi]
-            score, own, span, first, end = self.align(k, window)
-            if score >= SURE_SCORE or (score >= FAIR_SCORE and own and span >= MIN_SPAN):
+            score, own, span, first, end, matched, told = self.align(k, window)
+            if is_leak(score, own, span, matched, told):
                 if pair not in found or found[pair][0] < score:
                     found[pair] = (score, lo + first, lo + end)
         return [(*divmod(pair, len(self.items)), *v) for pair, v in found.items()]
 
 
+def carried_on(row: list[int], window: list[int]) -> tuple[int, int, int]:
+    """Words matched, and words of both sides passed, going on over a changed, added or left-out word before two equal ones."""
+    n = p = d = 0
+    while True:
+        for gp, gd in ((0, 0), (1, 1), (0, 1), (1, 0)):
+            a, b = row[p + gp : p + gp + 2], window[d + gd : d + gd + 2]
+            if len(a) == 2 and a == b:
+                n, p, d = n + 2, p + gp + 2, d + gd + 2
+                break
+        else:
+            if p < len(row) and d < len(window) and row[p] == window[d] and n:
+                n, p, d = n + 1, p + 1, d + 1
+            return n, p, d
+
+
+def is_leak(score: float, own: int, span: int, matched: int, bits: float) -> bool:
+    if score >= SURE_SCORE or (score >= FAIR_SCORE and own and span >= MIN_SPAN):
+        return True
+    if span >= LONG_STRETCH and matched >= LONG_SHARE * span:
+        return True
+    return span >= MIN_STRETCH and matched >= MIN_SHARE * span and matched + bits >= MIN_TOLD
+
+
 def ngram_hashes(ids: np.ndarray) -> np.ndarray:
     h = np.zeros(len(ids) - NGRAM + 1, dtype=np.uint64)
     for k in range(NGRAM):

@@ -53,6 +53,28 @@ def test_leaked_lines_are_removed(spark):
     assert [tuple(r) for r in leak.remove_leaks(docs, found).collect()] == [(1, "Titolo uno\nFine del testo")]
 
 
+def templates(n, rng):
+    """Passages put together from a few phrases that all share, so hardly any word is particular to one."""
+    phrases = [" ".join(rng.choice(WORDS) + rng.choice("ae") for _ in range(4)) for _ in range(150)]
+    return [" ".join(rng.choice(phrases) for _ in range(20)) for _ in range(n)]
+
+
+def test_altered_stretches_of_eighteen_words(spark):
+    rng = random.Random(3)
+    items = list(enumerate(templates(120, rng)))
+    index = leak.PassageIndex(items)
+    assert not any(index.particular[5])
+    w = items[5][1].split()
+    x = w[11:29]
+    one, three, fifth = list(x), list(x), list(w)
+    one[8] = three[4] = three[9] = three[14] = "altro"
+    fifth[4::5] = ["altro"] * len(fifth[4::5])
+    added = " ".join([*x[:6], "poi", *x[6:12], "anche", *x[12:]])
+    frame = "Qui comincia la lezione di ieri. {} Qui finisce la lezione di oggi."
+    texts = [(i, frame.format(t if isinstance(t, str) else " ".join(t))) for i, t in enumerate((one, three, fifth, added, w[11:19]))]
+    assert {(r.doc_id, r.item_id) for r in leaks(spark, texts, items).collect()} == {(i, 5) for i in range(4)}
+
+
 RESIDUE = [
     "Gentile {{ nome }},", "Benvenuto, %s!", "Pagina di [TITOLO_PAGINA]", "la [object Object] bassa", "Autore: undefined", "nei %COMUNE% giorni",
     "il ${autore} lesse", "il #{anno} testo", "il $!body testo", "vidi <%= materia %> ieri", "[[comune]] piccolo", "@@ANNO@@ della bottega",
