@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _constants, _parser
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,7 @@ _EDITORIAL = re.compile(r"\[(?:[IVXLCDM]+|SIC|N\.?D\.?[RTA]\.?|OMISSIS|A|B|C|D)\
 
 # --- Phrases, as fixed values: (kind, certain, pattern over the masked message). -----
 _START = r"^(?:[\W_]*)(?:(?:spiacenti|ops|oops|attenzione|errore|error|sorry|nota|avviso|warning)\s*[,:!.\-–]+\s*)?"
+_REPEATED = r"(?:\b(?:testo|titolo|bla+h?|asdf\w*|qwert\w*|zxcv\w*|x{3,}|a{3,}|prova|test|foo|bar)\b[\W_]*){4,}"
 PHRASES = [
     # notices that scripts are required
     ("script", True, r"\b(?:please |you (?:need|have) to |you must )?(?:enable|activate|turn on|allow|switch on) (?:java ?script|js|scripts)\b(?: (?:to|in|and|for)\b|[.!]|$)"),
@@ -105,7 +108,7 @@ PHRASES = [
     ("filler", True, r"^[\W_]*da completare(?: a cura del(?:la)? \w+)?[\W_]*$"),
     ("filler", True, r"^[\W_]*inserire qui (?:il|la|lo|un|una|i|le)\b"),
     ("filler", True, r"\[bozza\]|\b(?:titolo ){2,}titolo\b|\b(?:testo ){2,}testo\b"),
-    ("filler", True, r"(?:\b(?:testo|titolo|bla+h?|asdf\w*|qwert\w*|zxcv\w*|x{3,}|a{3,}|prova|test|foo|bar)\b[\W_]*){4,}"),
+    ("filler", True, _REPEATED),
     # uncertain alone: only where the message recurs widely
     ("error", False, r"^[\W_]*(?:not found|forbidden|bad gateway|service unavailable|internal server error|too many requests|gateway timeout)[\W_]*$"),
     ("filler", False, r"^[\W_]*(?:coming soon|in costruzione|under construction|page under construction)[\W_]*$"),
@@ -116,27 +119,63 @@ MENTION = re.compile(
     r"risponde con|come in|per esempio|insieme [a-z] =|means|is called|is written|signifie|s'écrit|bedeutet|se escribe)\b"
 )
 
+#: What masking puts in; the text has something else there.
+_MASKS = re.compile("<n>|<addr>|<date>")
+
+
+def needed(pattern) -> frozenset | None:
+    """Strings of which every match of a parsed pattern holds one before masking; None if there are no such."""
+    best, run = None, ""
+
+    def offer(found: frozenset | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    def close() -> None:
+        nonlocal run
+        piece = max((x.strip() for x in _MASKS.split(run)), key=len)
+        offer(frozenset([piece]) if piece else None)
+        run = ""
+
+    for op, arg in pattern:
+        if op is _constants.LITERAL:
+            run += chr(arg)
+            continue
+        if op is _constants.MAX_REPEAT:
+            inner = arg[2][0][1][3] if len(arg[2]) == 1 and arg[2][0][0] is _constants.SUBPATTERN else arg[2]
+            if all(o is _constants.LITERAL for o, _ in inner):
+                word = "".join(chr(x) for _, x in inner)
+                run += word * arg[0]
+                if arg[0] != arg[1]:  # what follows stands behind the last repeat
+                    close()
+                    run = word * arg[0]
+                continue
+        close()
+        if op is _constants.SUBPATTERN:
+            offer(needed(arg[3]))
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[0]:
+            offer(needed(arg[2]))
+        elif op is _constants.BRANCH:
+            ways = [needed(way) for way in arg[1]]
+            offer(frozenset().union(*ways) if all(ways) else None)
+    close()
+    return best
+
+
 #: Words of which every phrase rule needs one, in lower case: the first, cheap pass over a text.
-LITERALS = (
-    "undefined", "javascript", "java script", " js ", " js.", "script", "errore 4", "errore 5", "errore <", "error 4", "error 5", "fehler 4",
-    "fehler 5", "erreur 4", "erreur 5", "error:", "erreur est", "error occ", "error has occ", "verificato un err", "un error", "ein fehler",
-    "not found", "forbidden", "unauthorized", "bad request", "gateway", "unavailable", "internal server", "too many req", "not allowed",
-    "410 gone", ">gone<", "time-out", "timeout", "lorem ipsum", "dolor sit", "adipiscing", "segnaposto", "qui va ", "testo di es", "testo di pro",
-    "text here", "sample text", "placeholder text", "dummy text", "example text", "goes here", "contenuto in ", "content here", "title here",
-    "todo", "fixme", "tbd", "da completare", "inserire", "inserisci", "[insert", "(insert", "einfügen", "insérer", "insertar", "titolo titolo",
-    "testo testo", "[bozza]", "che cerchi non", "pagina richiesta", "pagina cercata", "pagina non trovata", "no encontrada", "introuvable",
-    "nicht gefunden", "access denied", "accesso negato", "accès refusé", "acceso denegado", "zugriff verw", "in manutenzione", "sessione è scaduta",
-    "andato storto", "i permessi", "went wrong", "process your request", "page could", "page cannot", "page can", "documento richiesto",
-    "impossibile connettersi", "traceback", "warning:", "notice:", "deprecated:", ", line ", "exception", "in costruzione", "under construction",
-    "coming soon", "bla bla", "blah", "asdf", "qwert", "zxcv", "xxx",
-)
+LITERALS = tuple(sorted(
+    frozenset().union(*(needed(_parser.parse(p)) for _, _, p in PHRASES if p is not _REPEATED)) | {"undefined"}
+    | {b + w for b in "[(" for w in ("inserire", "inserisci", "insert", "insérer", "insertar", "einfügen")}
+))
 _STRUCTURE = re.compile(
-    r"[{\[<$#@%_&(](?:(?<=\{)[\w{%\s]|(?<=\$)[{!]|(?<=#)\{|(?<=<)(?:[A-Z%!]|title|noscript)|(?<=\[)(?:\[|object|[A-ZÀ-Þ]{2})|"
-    r"(?<=@)@|(?<=_)_[^\W_]|(?<=%)(?:[A-ZÀ-Þ]{2}|[sd]\b|\d\$)|(?<=&)(?:amp;)*lt;|(?<=\()inserire)"
+    r"[{\[<$#@%_&(](?:(?<=\{)[\w{%\s]|(?<=\$)[{!]|(?<=#)\{|(?<=<)(?:[A-ZÀ-Þ%!]|\s*[A-ZÀ-Þ])|(?<=\[)(?:\[|object|[A-ZÀ-Þ])|"
+    r"(?<=@)@|(?<=_)_[^\W_]|(?<=%)(?:[A-ZÀ-Þ]|[sd]|\d+\$)|(?<=&)(?:amp;)*lt;|(?<=\()inserire)"
 )
 #: Endings of Latin-looking filler words, and function words that real Latin has.
 _ENDINGS = "um|us|ae|it|at|is|or|em"
-_LATIN_RUN = re.compile(rf"(?:{_ENDINGS})[,.]?\s+\w+(?:{_ENDINGS})[,.]?\s+\w+(?:{_ENDINGS})[,.]?\s+\w+(?:{_ENDINGS})[,.]?\s+\w+(?:{_ENDINGS})\b")
+#: Where four of five words look Latin, three stand in a row.
+_LATIN_RUN = re.compile(rf"(?<![^\W\d_])[a-z]{{2,}}(?:{_ENDINGS})(?:[\W\d_]+[a-z]{{2,}}(?:{_ENDINGS})){{2}}(?![^\W\d_])")
 _LATIN_WORD = re.compile(rf"[a-z]{{2,}}(?:{_ENDINGS})")
 _LATIN_FUNCTION = frozenset("et in ad est non cum ut sed per qui quae quod ex de ab si nec aut atque sunt esse".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -159,15 +198,27 @@ def _automaton():
 _WORDS = _automaton()
 
 
+#: The one rule whose words are common in content: looked for itself.
+_REPEATED_WORDS = re.compile(_REPEATED)
+
+
+def plain(text: str) -> str:
+    """``text`` as the rules read it: escapes resolved, composed characters."""
+    text = unescape_all(text) if "&" in text else text
+    return text if text.isascii() else normalize("NFC", text)
+
+
 def suspicious(text: str) -> bool:
     """Whether some rule could match ``text``; everything else is passed over."""
-    low = text.lower()
+    low = " ".join(plain(text).lower().split())
     if _WORDS is not None:
         if next(_WORDS.iter(low), None) is not None:
             return True
     elif any(w in low for w in LITERALS):
         return True
-    return _STRUCTURE.search(text) is not None or _LATIN_RUN.search(low) is not None
+    if _REPEATED_WORDS.search(low):
+        return True
+    return _STRUCTURE.search(text if text.isascii() else normalize("NFC", text)) is not None or _LATIN_RUN.search(low) is not None
 
 
 def latin_filler(masked: str) -> bool:
@@ -208,8 +259,8 @@ def placeholder(message: str) -> tuple[str, str] | None:
 
 def classify(message: str) -> tuple[str, bool, str] | None:
     """``(kind, certain, masked form)`` of one message, or None."""
-    masked = mask(unescape_all(message) if "&" in message else message)
-    found = placeholder(message)
+    masked = mask(plain(message))
+    found = placeholder(message if message.isascii() else normalize("NFC", message))
     mention = MENTION.search(masked)
     if found and not mention:
         syntax, field = found

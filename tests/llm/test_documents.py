@@ -112,3 +112,14 @@ def test_residue_in_documents(spark):
     assert {202, 300, 301, 302} <= {r.doc_id for r in residue.find_residue(more, spark)[0].collect()}
     assert residue.find_residue(df.limit(0), spark)[0].collect() == []
     assert {r.kind for r in groups.collect()} >= {"placeholder", "filler", "error", "script"}
+
+
+def test_first_pass_lets_every_rule_through():
+    assert all(residue.needed(residue._parser.parse(p)) for _, _, p in residue.PHRASES)
+    texts = [
+        "JS is required for this page", "Abilita JS", "Abilita JS!", "Bitte aktivieren Sie Skripte", "Errore 1045 - accesso al database", "Fehler 12: kein Zugriff",
+        "410 - Gone", "prova prova prova prova", "test foo bar test", "aaa aaa aaa aaa", "Errore  404 - Risorsa assente", "Errore\u00a0404 - Risorsa assente",
+        "La sessione &egrave; scaduta", "La sessione e\u0300 scaduta", "[E] di turno", "%A% di turno", "scrivi %12$s oggi",
+        "cerait cazirit mola zostrisae gunfilem minpesit pane nuscuor pasis cutruem",
+    ]
+    assert [t for t in texts if not any(residue.classify(m) for m in residue.messages(t))] == []
