@@ -74,9 +74,10 @@ def parsed_benchmark_options(spark, sf_dir):
 def printed_records(spark, sf_dir):
     """Bank records printed in fixed columns and parsed back, one row per code found."""
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"[\s\p{Z}]+", " "), r"\b[a-d]\)", ""))
+    column = lambda c, n: F.rpad(c, F.greatest(F.lit(n), F.length(c) + 2), F.lit(" "))  # noqa: E731  rpad cuts what is longer
     rows = read_table(spark, sf_dir, "zagreus_exam_bank_v1").where("size(options) = 4 and gold between 0 and 3 and question is not null and record_code is not null").select("id", "record_code", "question", "options", "gold").distinct()
-    cells = [F.rpad(F.concat(F.lit(f"{x}) "), clean(F.element_at("options", k + 1))), 130, " ") for k, x in enumerate("abcd")]
-    line = F.concat("record_code", F.lit("  "), F.rpad(clean(F.col("question")), 420, " "), *cells, F.lit("   "), F.element_at(F.array(*[F.lit(x) for x in "abcd"]), F.col("gold") + 1))
+    cells = [column(F.concat(F.lit(f"{x}) "), clean(F.element_at("options", k + 1))), 130) for k, x in enumerate("abcd")]
+    line = F.concat("record_code", F.lit("  "), column(clean(F.col("question")), 420), *cells, F.lit("   "), F.element_at(F.array(*[F.lit(x) for x in "abcd"]), F.col("gold") + 1))
     return records.parse_tables(rows.select(F.col("id").alias("member"), line.alias("text"))).select("member", "record_code", "question", "gold", "gold_letter", "reason")
 
 

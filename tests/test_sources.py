@@ -45,6 +45,16 @@ def test_printed_records():
     assert list(records.parse_table("")) == []
 
 
+def test_printed_records_are_not_cut(spark, tmp_path):
+    from siftwright.plans.sources import printed_records
+
+    question, options = " ".join(["parola"] * 90) + " fine?", [" ".join([w] * 50) + " fine" for w in ("uno", "due", "tre", "sei")]
+    df = spark.createDataFrame([("x:AB12345", "AB12345", question, options, 3)], "id string, record_code string, question string, options array<string>, gold int")
+    df.write.parquet(str(tmp_path / "zagreus_exam_bank_v1.parquet"))
+    (row,) = printed_records(spark, str(tmp_path)).collect()
+    assert (row.question, row.gold, row.gold_letter, row.reason) == (question, 3, "D", "accepted")
+
+
 def test_archives(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
