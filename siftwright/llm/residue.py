@@ -1,23 +1,25 @@
 """Problem 9: template residue, filler, error pages and script notices.
 
-Texts are cut into messages (sentences and lines); numbers, addresses, dates
-and the names inside placeholders are masked, and exact hashes of what is left
-are grouped across documents and sources. A message is classified by phrase and
-placeholder rules from its masked form; rules that are certain by themselves
-hold wherever the message stands, the others only for messages that recur
-widely. Rules speak of messages that are addressed to the reader of the page;
-sentences that mention or quote one are told apart by their own words.
-
-The rules run in the scan, before the shuffle: what is grouped is the messages
-that some rule matches, and of those only hashes, one row per message, document
-and source. The verdict of a message is joined back by its hash.
+Whole texts are cut into units: messages (lines and the sentences in them) and
+the fields that template syntaxes mark. Numbers, addresses, dates and quoted
+identifiers are masked, and the exact hash of every unit of every document is
+grouped across sources; only hashes are shuffled, never texts. The units that
+recur in ``WIDELY`` sources or more are then classified by phrase and
+placeholder rules, once for each distinct unit, and the documents that hold a
+classified unit come out by a join on its hash.
+
+What cannot recur by its nature is certain alone: fields of syntaxes that prose
+has no use for, invented Latin, keyboard mash and words without end. It goes
+through the same groups, under the constant of its form.
+
+Rules speak of messages addressed to the reader of the page; sentences that
+mention or quote one are told apart by their own words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from re import _constants, _parser
 from unicodedata import normalize
 
 import pyarrow as pa
@@ -27,294 +29,292 @@ from pyspark.sql import functions as F
 from siftwright.functions.pytext import unescape_all
 from siftwright.session import Scratch, read_table
 
-#: Sources in which a message of an uncertain rule must recur.
+#: Sources in which a unit must recur to be classified.
 WIDELY = 3
 
-# --- Placeholders: a field that a template engine should have filled. ---------------
+# --- Fields: what a template engine should have filled. -----------------------------
+# Syntax -> (certain alone, what every match holds as it stands in lower case, pattern).
 _NAME = r"[^\W\d]\w*(?:[.\-]\w+)*"
 _UPPER = r"[A-ZÀ-Þ][A-ZÀ-Þ0-9]*(?:[._][A-ZÀ-Þ0-9]+)*"
 _FIELD = rf"\s*{_NAME}(?:[ ]{_NAME}){{0,3}}\s*"
-PLACEHOLDERS = {
-    "mustache": rf"\{{\{{[#/^&>!]?{_FIELD}(?:\|[^{{}}\n]{{0,40}})?\}}\}}",
-    "block": r"\{%-?\s*\w+[^%\n]{0,80}?-?%\}",
-    "dollar": rf"\$\{{{_FIELD}\}}",
-    "hash": rf"#\{{{_FIELD}\}}",
-    "velocity": rf"\$!\{{?{_NAME}\}}?",
-    "erb": r"<%[=#-]?[^%\n]{1,80}?%>",
-    "wiki": rf"\[\[{_FIELD}\]\]",
-    "upper_square": rf"\[{_UPPER}(?:[ ]{_UPPER}){{0,3}}\]",
-    "insert": r"[\[(](?:inserire|inserisci|insert|insérer|insertar|einfügen)\b[^\])\n]{0,60}[\])]",
-    "upper_angle": rf"<{_UPPER}(?:[ ]{_UPPER}){{0,3}}>",
-    "percent": rf"%{_UPPER}(?:[ ]{_UPPER}){{0,3}}%",
-    "at": r"@@\w[\w. ]{0,40}@@",
-    "dunder": r"(?<![\w_])__[^\W_][\w.]{0,40}?__(?![\w_])",
-    "printf": r"(?<![\w%])%(?:\d+\$)?[sd](?!\w)",
-    "position": r"(?<![\w{$#])\{\d{1,2}\}(?![\w}])",
-    "curly": rf"(?<![{{$#!%«\"'“‘\w])\{{{_FIELD}\}}(?![}}»\"'”’])",
-    "object": r"\[object Object\]",
-    "undefined": r"(?<![\w«\"'“‘])undefined(?![\w»\"'”’])",
+_INSERT = ("inserire", "inserisci", "insert", "insérer", "insertar", "einfügen")
+FIELDS = {
+    "mustache": (True, "{{", rf"\{{\{{[#/^&>!]?{_FIELD}(?:\|[^{{}}\n]{{0,40}})?\}}\}}"),
+    "block": (True, "{%", r"\{%-?\s*\w+[^%\n]{0,80}?-?%\}"),
+    "dollar": (True, "${", rf"\$\{{{_FIELD}\}}"),
+    "hash": (True, "#{", rf"#\{{{_FIELD}\}}"),
+    "velocity": (True, "$!", rf"\$!\{{?{_NAME}\}}?"),
+    "erb": (True, "<%", r"<%[=#-]?[^%\n]{1,80}?%>"),
+    "at": (True, "@@", r"@@\w[\w. ]{0,40}@@"),
+    "dunder": (True, "__", r"(?<![\w_])__[^\W_][\w.]{0,40}?__(?![\w_])"),
+    "object": (True, "[object", r"\[object Object\]"),
+    "percent": (True, "%", rf"%{_UPPER}(?:[ ]{_UPPER}){{0,3}}%"),
+    "wiki": (True, "[[", rf"\[\[{_FIELD}\]\]"),
+    "bracket": (False, "[", rf"\[{_UPPER}(?:[ ]{_UPPER}){{0,3}}\]"),
+    "bracket_your": (False, "[", r"(?i:\[(?:your|il tuo|la tua|votre|ihre?|tu|nome|cognome|name|date|data)(?:[ ]\w+){0,3}\])"),
+    "insert": (False, _INSERT, rf"(?i:[\[(](?:{'|'.join(_INSERT)})\b[^\])\n]{{0,60}}[\])])"),
+    "angle": (False, "<", rf"<{_UPPER}(?:[ ]{_UPPER}){{0,3}}>"),
+    "escaped_angle": (False, "&lt;", rf"&lt;{_FIELD}&gt;"),
+    "printf": (False, "%", r"(?<![\w%])%(?:\d+\$)?[sd](?!\w)"),
+    "position": (False, "{", r"(?<![\w{$#])\{\d{1,2}\}(?![\w}])"),
+    "curly": (False, "{", rf"(?<![{{$#!%\w])\{{{_FIELD}\}}(?![}}])"),
+    "undefined": (False, "undefined", r"(?<!\w)undefined(?!\w)"),
 }
-#: Escaped angle brackets around a lower-case field, as in ``&lt;name&gt;``.
-_ESCAPED_ANGLE = re.compile(rf"&lt;{_FIELD}&gt;")
+_FIELDS = [(name, certain, (need,) if isinstance(need, str) else need, re.compile(p)) for name, (certain, need, p) in FIELDS.items()]
 #: Roman numerals and other upper-case words in square brackets that editors write.
 _EDITORIAL = re.compile(r"\[(?:[IVXLCDM]+|SIC|N\.?D\.?[RTA]\.?|OMISSIS|A|B|C|D)\]")
+_OPEN, _CLOSE = "«\"'“‘`„", "»\"'”’`“"
+#: A message with one of these speaks of a message instead of being one.
+MENTION = re.compile(
+    r"\b(?:si scrive|si usa|si dice|chiam(?:a|ano)|indica(?:no)?|significa|spiega|vuol dire|il quesito|la voce|"
+    r"risponde con|come in|per esempio|insieme [a-z] =|means|is called|is written|signifie|s'écrit|bedeutet|se escribe)\b"
+)
+#: What stands right before a field that is named, not left unfilled.
+_NAMING = re.compile(
+    r"\b(?:si (?:scrive|usa|dice)|(?:one )?writes?|il campo|la variabile|la stringa|il marcatore|"
+    r"the (?:field|variable|string|tag|marker)|chiamat[oa]|called|means|s'écrit|schreibt man|se escribe)\s*$"
+)
+#: Words of programming in the sentence around a field.
+_CODING = re.compile(
+    r"\b(?:printf?|format|strings?|string[ah]e?|variab(?:il[ei]|les?)|variablen?|mustache|jinja|php|python|java ?script|html|"
+    r"sintassi|syntax|syntaxe|placeholders?|segnaposto|one writes|si inserisce|template engine|in c\b)\b"
+)
 
-# --- Phrases, as fixed values: (kind, certain, pattern over the masked message). -----
-_START = r"^(?:[\W_]*)(?:(?:spiacenti|ops|oops|attenzione|errore|error|sorry|nota|avviso|warning)\s*[,:!.\-–]+\s*)?"
-_REPEATED = r"(?:\b(?:testo|titolo|bla+h?|asdf\w*|qwert\w*|zxcv\w*|x{3,}|a{3,}|prova|test|foo|bar)\b[\W_]*){4,}"
+# --- Messages, as fixed values: (kind, pattern over the masked form). Only units that recur widely are read. -------
+_JS = r"(?:javascript|scripts?|gli script|les scripts|los scripts|skripte)"
+_PAGE = r"(?:page|file|url|resource|document|site|content|link|pagina|sito|risorsa|documento|contenuto|indirizzo|seite|datei|inhalt|fichier|ressource|página|recurso|archivo)"
+_STATUS = (
+    r"(?:(?:page|file|url|document|resource|object)? ?not found|forbidden|gone|unauthori[sz]ed|bad request|bad gateway|gateway time-?out|"
+    r"service (?:temporarily )?unavailable|internal server error|too many requests|method not allowed|request time-?out|payment required|moved permanently)"
+)
+_LEAD = r"^(?:(?:spiacenti|siamo spiacenti|ci dispiace|ops|oops|attenzione|errore|error|sorry|we.re sorry|nota|avviso|warning|désolé|lo sentimos|leider|entschuldigung)\s*[,:!.\-–]*\s*)?"
 PHRASES = [
     # notices that scripts are required
-    ("script", True, r"\b(?:please |you (?:need|have) to |you must )?(?:enable|activate|turn on|allow|switch on) (?:java ?script|js|scripts)\b(?: (?:to|in|and|for)\b|[.!]|$)"),
-    ("script", True, r"\bbrowser (?:blocks|does not support|doesn.t support|has disabled) (?:java ?script|js|scripts?)\b"),
-    ("script", True, r"\b(?:java ?script|js) is (?:required|disabled|not enabled|turned off)\b"),
-    ("script", True, r"\b(?:applicazione|pagina|sito|app) non funziona(?:no)? senza (?:gli )?(?:script|java ?script|js)\b"),
-    ("script", True, r"\bbrowser ha (?:java ?script|js|gli script) (?:disattivat|disabilitat|bloccat)[oi]\b"),
-    ("script", True, r"\b(?:è necessario|occorre|bisogna|devi|si prega di) (?:abilitare|attivare|consentire) (?:java ?script|js|gli script)\b"),
-    ("script", True, _START + r"(?:abilita|attiva|abilitare|attivare) (?:java ?script|js|gli script)\b"),
-    ("script", True, r"\bactiv(?:e|a|ar) (?:java ?script|js|los scripts) (?:en|para)\b"),
-    ("script", True, r"\b(?:habilite|habilitar|habilita) (?:java ?script|js|los scripts)\b"),
-    ("script", True, r"\bveuillez (?:activer|autoriser) (?:java ?script|js|les scripts)\b"),
-    ("script", True, r"\bbitte (?:aktivieren|schalten) sie (?:java ?script|js|skripte)\b"),
-    ("script", True, r"<noscript\b"),
+    ("script", rf"\b(?:enable|activate|turn on|allow|switch on|requires?|needs?) (?:\w+ )?{_JS}\b"),
+    ("script", rf"\b{_JS} (?:is|are|must be|has to be|needs to be|have been|support is)\b(?: \w+)? ?(?:required|disabled|not enabled|not supported|turned off|switched off|needed|enabled|blocked|activated|turned on|off)\b"),
+    ("script", rf"\bbrowser (?:blocks|does not support|doesn.t support|has disabled|has) {_JS}\b"),
+    ("script", rf"\b(?:does not|doesn.t|will not|won.t|cannot) (?:work|run|function|load) (?:\w+ )?without {_JS}\b"),
+    ("script", rf"\b(?:abilit|attiv|consent|richied|necessit|riattiv)\w* (?:di |il |l'uso di |l'esecuzione di )?{_JS}\b"),
+    ("script", rf"\b(?:funzion\w+|disponibil[ei]|visualizzabil[ei]) senza (?:gli )?{_JS}\b|\bsenza {_JS} (?:\w+ )*non (?:funziona|è)"),
+    ("script", rf"\b{_JS} (?:è |sono |risulta )?(?:disattivat|disabilitat|bloccat|richiest|necessari|obbligatori)\w\b"),
+    ("script", rf"\b(?:activ(?:e|a|ar|er|ez)|habilit(?:e|a|ar)|autoris(?:er|ez)|requiert|nécessite|requiere|necesita) (?:le |el )?{_JS}\b"),
+    ("script", rf"\b{_JS} (?:est|está|ist) (?:\w+ )?(?:désactivé|desactivado|deaktiviert|requis|nécessaire|necesario|erforderlich|blockiert)\b"),
+    ("script", rf"\b(?:aktivieren|schalten|erlauben) sie (?:bitte )?{_JS}\b|\b(?:benötigt|erfordert) {_JS}\b"),
+    ("script", r"<noscript\b"),
     # error pages and program failures
-    ("error", True, r"<title>\s*(?:error|errore)?\s*<n>\s+[^<]{2,60}</title>"),
-    ("error", True, _START + r"(?:http\s*(?:/[\d.<n>]+)?\s*)?(?:error|errore|fehler|erreur)?\s*<n>\s*[-–:.]?\s*(?:not found|forbidden|gone|unauthorized|bad request|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|method not allowed|request time-?out)\b[\W_]*$"),
-    ("error", True, r"^[\W_]*(?:errore|error|fehler|erreur)\s+<n>\s*[-–:]\s*\S.{2,60}$"),
-    ("error", True, r"^[\W_]*(?:seite nicht gefunden|página no encontrada|page introuvable|page not found|pagina non trovata|access denied|accesso negato|accès refusé|acceso denegado|zugriff verweigert)\s*(?:\(?<n>\)?)?[\W_]*$"),
-    ("error", True, r"^[\W_]*(?:une erreur est survenue|an error (?:has )?occurred|si è verificato un errore|ha ocurrido un error|se ha producido un error|ein fehler ist aufgetreten)\b"),
-    ("error", True, r"\bwe could not process your request\b"),
-    ("error", True, r"\b(?:this|the) page (?:could not|cannot|can.t) be (?:loaded|displayed|found)\b"),
-    ("error", True, r"\bimpossibile connettersi al (?:database|server)\b"),
-    ("error", True, r"\bil documento richiesto è stato rimosso\b"),
-    ("error", True, r"^[\W_]*sito in manutenzione\b"),
-    ("error", True, _START + r"la (?:tua )?sessione è scaduta\b"),
-    ("error", True, _START + r"(?:la pagina (?:che cerchi|richiesta|cercata) non (?:esiste|è (?:stata )?(?:trovata|disponibile))(?: o è stata (?:spostata|rimossa))?)[\W_]*$"),
-    ("error", True, _START + r"(?:qualcosa è andato storto|non hai i permessi\b.*|something went wrong)[\W_]*$"),
-    ("error", True, r"\btraceback \(most recent call last\)"),
-    ("error", True, r"^\s*file \"[^\"\n]+\", line <n>, in \w+"),
-    ("error", True, r"^[\W_]*(?:key|value|type|name|index|attribute|runtime|io|os|import|zerodivision)error:\s*\S"),
-    ("error", True, r"^[\W_]*(?:fatal|parse|syntax) error:\s*\S"),
-    ("error", True, r"^[\W_]*(?:warning|notice|deprecated):\s.*\b(?:in|on line)\b.*(?:<addr>|line <n>)"),
-    ("error", True, r"\bexception in thread \"|\bnullpointerexception\b|\bat \w+(?:\.\w+)+\(\w+\.java:<n>\)"),
+    ("error", r"<title>\s*(?:error|errore)?\s*<n>\s+[^<]{2,60}</title>"),
+    ("error", rf"^(?:http\s*(?:/[\d.<n>]+)?\s*)?(?:error|errore|fehler|erreur)?\s*(?:<n>)?\s*[-–:.|]?\s*{_STATUS}(?: (?:nginx|apache)\S*)?[\W_]*$"),
+    ("error", r"^(?:errore|error|fehler|erreur)\s+<n>\s*[-–:]\s*\S.{2,60}$"),
+    ("error", rf"{_LEAD}(?:seite|página|page|pagina|site|sito|file|url|link|contenuto|risorsa) (?:nicht gefunden|no encontrada|introuvable|not found|non trovat[oa]|inesistente)\s*(?:\(?<n>\)?)?[\W_]*$"),
+    ("error", r"^(?:access denied|accesso negato|accès refusé|acceso denegado|zugriff verweigert|permission denied|autorizzazione negata)\s*(?:\(?<n>\)?)?[\W_]*$"),
+    ("error", r"\b(?:une erreur (?:est survenue|s'est produite)|an? (?:\w+ )?error (?:has |was )?(?:occurred|encountered)|si è verificato un (?:\w+ )?errore|ha ocurrido un error|se ha producido un error|ein fehler ist aufgetreten)\b"),
+    ("error", r"\b(?:could not|cannot|can.t|unable to|failed to|was unable to) (?:process|complete|handle|load|connect to|open|fulfil+|reach) (?:\w+ )?(?:request|page|database|server|file|content|site)\b"),
+    ("error", rf"\b(?:this|the|your)(?: requested)? {_PAGE}(?: you \w+(?: \w+){{0,3}})? (?:could not|cannot|can.t|was not|is not|isn.t|does not|doesn.t|no longer)\b.{{0,20}}\b(?:loaded|displayed|found|available|exists?|accessible|reached)\b"),
+    ("error", rf"\brequested {_PAGE} (?:was|is|has|could)\b"),
+    ("error", r"\bimpossibile (?:connettersi|collegarsi|raggiungere|caricare|visualizzare|aprire|trovare|elaborare|completare)\b"),
+    ("error", rf"\b{_PAGE} (?:che (?:cerchi|stai cercando|hai richiesto|hai cercato) |richiest[oa] |cercat[oa] )?(?:non (?:esiste|è (?:più |stat[oa] )?(?:trovat[oa]|disponibile|raggiungibile))|è stat[oa] (?:rimoss|spostat|eliminat|cancellat)[oa])"),
+    ("error", r"^(?:il )?(?:sito|servizio|server)(?: \w+)? (?:è )?(?:in manutenzione|temporaneamente|momentaneamente|non disponibile)\b|\b(?:down for|under|undergoing) maintenance\b|\btorneremo (?:presto )?online\b|\bwartungsarbeiten\b|\ben maintenance\b"),
+    ("error", r"\b(?:session (?:has |is )?(?:expired|timed out)|sessione (?:è )?scaduta|session (?:a )?expirée?|sesión ha (?:caducado|expirado)|sitzung ist abgelaufen)\b"),
+    ("error", r"\b(?:qualcosa è andato storto|non hai i permessi|something went wrong|algo salió mal|etwas ist schief|quelque chose s'est mal passé)\b"),
+    ("error", r"\b(?:please )?try again (?:later|in a few)|\briprova(?:re)? (?:più tardi|tra qualche)\b|\bcontact the (?:site )?administrator\b"),
+    ("error", r"\btraceback \(most recent call last\)|^file (?:<q>|<addr>|\"[^\"\n]+\"), line <n>"),
+    ("error", r"^(?:\w+\.)*[a-z_]*(?:error|exception)\b ?: ?\S"),
+    ("error", r"^(?:php )?(?:fatal|parse|syntax|catchable fatal) error\s*:\s*\S|^segmentation fault\b|\bstack ?trace\b"),
+    ("error", r"^(?:php )?(?:warning|notice|deprecated)\s*:\s.*\b(?:in|on line)\b.*(?:<addr>|line <n>)"),
+    ("error", r"\bexception in thread \"|\bnull ?pointer ?exception\b|\bat \w+(?:\.\w+)+\(\w+\.java:<n>\)"),
+    ("error", r"\berror establishing a database connection\b|\b(?:connection|request) (?:refused|reset|timed out)\b|\bthis site can.t be reached\b|\btoo many connections\b"),
     # filler in place of content
-    ("filler", True, r"^[\W_]*lorem ipsum\b|\blorem ipsum dolor\b|\bdolor sit amet\b|\bconsectetur adipiscing\b"),
-    ("filler", True, r"\btesto segnaposto da sostituire\b"),
-    ("filler", True, _START + r"qui va il (?:testo|titolo|contenuto)\b"),
-    ("filler", True, r"^[\W_]*testo di (?:esempio|prova)[\W_]*$"),
-    ("filler", True, r"^[\W_]*(?:sample|placeholder|dummy|example) text(?: here)?[\W_]*$"),
-    ("filler", True, r"^[\W_]*(?:your |add |insert |enter )(?:text|title|content)(?: goes)? here[\W_]*$"),
-    ("filler", True, r"^[\W_]*contenuto in (?:preparazione|arrivo|allestimento)[\W_]*$"),
-    ("filler", True, r"^[\W_]*(?:todo|fixme|tbd)\s*[:\-–]\s*\S"),
-    ("filler", True, r"^[\W_]*da completare(?: a cura del(?:la)? \w+)?[\W_]*$"),
-    ("filler", True, r"^[\W_]*inserire qui (?:il|la|lo|un|una|i|le)\b"),
-    ("filler", True, r"\[bozza\]|\b(?:titolo ){2,}titolo\b|\b(?:testo ){2,}testo\b"),
-    ("filler", True, _REPEATED),
-    # uncertain alone: only where the message recurs widely
-    ("error", False, r"^[\W_]*(?:not found|forbidden|bad gateway|service unavailable|internal server error|too many requests|gateway timeout)[\W_]*$"),
-    ("filler", False, r"^[\W_]*(?:coming soon|in costruzione|under construction|page under construction)[\W_]*$"),
+    ("filler", r"\blorem ipsum\b"),
+    ("filler", r"\btest[oi] segnaposto\b|^(?:qui )?segnaposto[\W_]*$|\b(?:placeholder|dummy|sample|filler) text\b|\btexte? (?:de )?substitution\b|\bblindtext\b|\btexto de (?:relleno|ejemplo)\b|\btexte d'exemple\b|\bbeispieltext\b|\bplatzhalter\b"),
+    ("filler", r"^qui (?:va|andrà|ci va|inserire)\b|^inser(?:ire|isci) (?:qui\b|(?:il |un )?(?:testo|titolo|contenuto)\b)"),
+    ("filler", r"^(?:un )?testo d(?:i|'|a) ?(?:esempio|prova|sostituire|inserire|definire)[\W_]*$"),
+    ("filler", r"^(?:your |add |insert |enter |put |type )+(?:own )?(?:text|title|content|description)(?: goes)?(?: here)?[\W_]*$|\b(?:text|title|content) goes here\b"),
+    ("filler", r"^contenut[oi] (?:\w+ )?in (?:preparazione|arrivo|allestimento|costruzione|fase di)\b|^(?:pagina |sito |sezione )?in (?:costruzione|allestimento)[\W_]*$|^(?:this )?(?:page |site )?(?:is )?under construction[\W_]*$|^coming soon[\W_]*$|^prossimamente[\W_]*$"),
+    ("filler", r"^(?:todo|fixme|tbd|tbc|xxx)\b\s*[:\-–]?\s*(?:\S.*)?$"),
+    ("filler", r"^da (?:completare|compilare|definire|inserire|scrivere)(?: a cura d\w+ \w+)?[\W_]*$|^to be (?:completed|added|defined|written|announced|determined)[\W_]*$|^à compléter[\W_]*$|^por completar[\W_]*$"),
+    ("filler", r"^\[?(?:bozza|draft|entwurf|brouillon|borrador)\]?(?:\s*[:\-–].*|[\W_]+(?:titolo|title|testo|text|titel)\b.*)?$"),
+    ("filler", r"(?:\b(?:titolo|testo|title|text|titel|titre|texte|texto|título)\b[\W_]*){3,}"),
 ]
-#: A sentence with one of these speaks of the message instead of being it.
-MENTION = re.compile(
-    r"\b(?:si scrive|si usa|si dice|chiam(?:a|ano)|indica(?:no)?|significa|spiega|vuol dire|il quesito|la voce|corso di|"
-    r"risponde con|come in|per esempio|insieme [a-z] =|means|is called|is written|signifie|s'écrit|bedeutet|se escribe)\b"
-)
-
-#: What masking puts in; the text has something else there.
-_MASKS = re.compile("<n>|<addr>|<date>")
-
-
-def needed(pattern) -> frozenset | None:
-    """Strings of which every match of a parsed pattern holds one before masking; None if there are no such."""
-    best, run = None, ""
-
-    def offer(found: frozenset | None) -> None:
-        nonlocal best
-        if found and (best is None or min(map(len, found)) > min(map(len, best))):
-            best = found
-
-    def close() -> None:
-        nonlocal run
-        piece = max((x.strip() for x in _MASKS.split(run)), key=len)
-        offer(frozenset([piece]) if piece else None)
-        run = ""
-
-    for op, arg in pattern:
-        if op is _constants.LITERAL:
-            run += chr(arg)
-            continue
-        if op is _constants.MAX_REPEAT:
-            inner = arg[2][0][1][3] if len(arg[2]) == 1 and arg[2][0][0] is _constants.SUBPATTERN else arg[2]
-            if all(o is _constants.LITERAL for o, _ in inner):
-                word = "".join(chr(x) for _, x in inner)
-                run += word * arg[0]
-                if arg[0] != arg[1]:  # what follows stands behind the last repeat
-                    close()
-                    run = word * arg[0]
-                continue
-        close()
-        if op is _constants.SUBPATTERN:
-            offer(needed(arg[3]))
-        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[0]:
-            offer(needed(arg[2]))
-        elif op is _constants.BRANCH:
-            ways = [needed(way) for way in arg[1]]
-            offer(frozenset().union(*ways) if all(ways) else None)
-    close()
-    return best
-
-
-#: Words of which every phrase rule needs one, in lower case: the first, cheap pass over a text.
-LITERALS = tuple(sorted(
-    frozenset().union(*(needed(_parser.parse(p)) for _, _, p in PHRASES if p is not _REPEATED)) | {"undefined"}
-    | {b + w for b in "[(" for w in ("inserire", "inserisci", "insert", "insérer", "insertar", "einfügen")}
-))
-_STRUCTURE = re.compile(
-    r"[{\[<$#@%_&(](?:(?<=\{)[\w{%\s]|(?<=\$)[{!]|(?<=#)\{|(?<=<)(?:[A-ZÀ-Þ%!]|\s*[A-ZÀ-Þ])|(?<=\[)(?:\[|object|[A-ZÀ-Þ])|"
-    r"(?<=@)@|(?<=_)_[^\W_]|(?<=%)(?:[A-ZÀ-Þ]|[sd]|\d+\$)|(?<=&)(?:amp;)*lt;|(?<=\()inserire)"
-)
+_RULES = [(kind, re.compile(p)) for kind, p in PHRASES]
+#: Words from which a unit is too long to be a message to the reader.
+LONGEST_MESSAGE = 60
+
+# --- Filler that cannot recur word for word. ------------------------------------------
+#: Keyboard mash and words typed to fill a line: four of them in a row.
+_MASH = re.compile(r"(?:\b(?:testo|titolo|bla+h?|asdf\w*|qwert\w*|zxcv\w*|x{3,}|a{3,}|prova|test|foo|bar)\b[\W_]*){4,}")
+_MASH_WORDS = ("testo", "titolo", "bla", "asdf", "qwert", "zxcv", "xxx", "aaa", "prova", "test", "foo", "bar")
 #: Endings of Latin-looking filler words, and function words that real Latin has.
-_ENDINGS = "um|us|ae|it|at|is|or|em"
-#: Where four of five words look Latin, three stand in a row.
-_LATIN_RUN = re.compile(rf"(?<![^\W\d_])[a-z]{{2,}}(?:{_ENDINGS})(?:[\W\d_]+[a-z]{{2,}}(?:{_ENDINGS})){{2}}(?![^\W\d_])")
-_LATIN_WORD = re.compile(rf"[a-z]{{2,}}(?:{_ENDINGS})")
+_ENDINGS = ("um", "us", "ae", "it", "at", "is", "or", "em")
 _LATIN_FUNCTION = frozenset("et in ad est non cum ut sed per qui quae quod ex de ab si nec aut atque sunt esse".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words and share of Latin-looking ones from which a message is filler.
 LATIN_WORDS, LATIN_SHARE = 8, 0.8
 
-
-def _automaton():
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
-    found = ahocorasick.Automaton()
-    for w in LITERALS:
-        found.add_word(w, 1)
-    found.make_automaton()
-    return found
-
-
-_WORDS = _automaton()
-
-
-#: The one rule whose words are common in content: looked for itself.
-_REPEATED_WORDS = re.compile(_REPEATED)
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
+_DATES = re.compile(r"\b\d{1,4}[./\-]\d{1,2}[./\-]\d{1,4}\b")
+_LINK = re.compile(r"(?:https?://|www\.)\S+")
+_MAIL = re.compile(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b")
+_PATH = re.compile(r"(?<![\w<])/(?:[\w.\-]+/)+[\w.\-]*")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_QUOTED = re.compile(r"(?<!\w)(['\"])[\w.\-]+\1(?!\w)")
+_SCRIPT = re.compile(r"\b(?:java script|js)\b")
+_EDGE = " \t\r\f\v\u00a0\u200b\ufeff*•·-–—_|#=~"
 
 
 def plain(text: str) -> str:
     """``text`` as the rules read it: escapes resolved, composed characters."""
-    text = unescape_all(text) if "&" in text else text
+    text = unescape_all(text) if "&" in text or "\\u" in text else text
     return text if text.isascii() else normalize("NFC", text)
 
 
-def suspicious(text: str) -> bool:
-    """Whether some rule could match ``text``; everything else is passed over."""
-    low = " ".join(plain(text).lower().split())
-    if _WORDS is not None:
-        if next(_WORDS.iter(low), None) is not None:
-            return True
-    elif any(w in low for w in LITERALS):
-        return True
-    if _REPEATED_WORDS.search(low):
-        return True
-    return _STRUCTURE.search(text if text.isascii() else normalize("NFC", text)) is not None or _LATIN_RUN.search(low) is not None
+def mask(text: str) -> str:
+    """Lower case; addresses, dates, quoted identifiers and numbers masked."""
+    if "://" in text or "www." in text:
+        text = _LINK.sub("<addr>", text)
+    if "@" in text:
+        text = _MAIL.sub("<addr>", text)
+    if "/" in text:
+        text = _PATH.sub("<addr>", text)
+    text = _NUMBER.sub("<n>", _DATES.sub("<date>", text)).lower()
+    if "'" in text or '"' in text:
+        text = _QUOTED.sub("<q>", text)
+    return _SCRIPT.sub("javascript", text) if "js" in text or "java script" in text else text
 
 
 def latin_filler(masked: str) -> bool:
     """A run of made-up words with Latin endings and no Latin function words."""
+    near = sum(w.endswith(_ENDINGS) for w in masked.translate(_NO_STOPS).split())
+    if near < LATIN_SHARE * LATIN_WORDS or 3 * near < masked.count(" "):  # cheap and never too strict
+        return False
     words = _LETTERS.findall(masked)
     if len(words) < LATIN_WORDS or not _LATIN_FUNCTION.isdisjoint(words):
         return False
-    return sum(_LATIN_WORD.fullmatch(w) is not None for w in words) >= LATIN_SHARE * len(words)
+    return sum(len(w) > 3 and w.endswith(_ENDINGS) and w.isascii() for w in words) >= LATIN_SHARE * len(words)
 
 
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
-_DATES = re.compile(r"\b\d{1,4}[./\-]\d{1,2}[./\-]\d{1,4}\b")
-_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|(?<![\w<])/(?:[\w.\-]+/)+[\w.\-]*")
-_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_PLACE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PLACEHOLDERS.items()))
-_PLACE_ANY_CASE = re.compile(PLACEHOLDERS["insert"], re.I)
-_RULES = [(kind, certain, re.compile(p)) for kind, certain, p in PHRASES]
+_NO_STOPS = str.maketrans(".,;:!?()\"'", " " * 10)
+
+
+def fields(text: str) -> Iterator[tuple[str, bool, str]]:
+    """``(syntax, certain, field)`` of the fields left unfilled in ``text``, but for quoted and mentioned ones."""
+    low = text.lower()
+    for name, certain, need, pattern in _FIELDS:
+        if not any(n in low for n in need):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if a and b < len(text) and text[a - 1] in _OPEN and text[b] in _CLOSE:
+                continue
+            if name == "bracket" and _EDITORIAL.fullmatch(m[0]):
+                continue
+            begin, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+            around = sentence_at(text[begin : end if end >= 0 else len(text)], a - begin).lower()
+            if _CODING.search(around) or _NAMING.search(text[max(begin, a - 40) : a].lower()):
+                continue
+            yield name, certain, _NUMBER.sub("<n>", " ".join(m[0].lower().split()))
+
+
+def sentence_at(line: str, at: int) -> str:
+    """The sentence of ``line`` that holds position ``at``."""
+    begin = 0
+    for m in _SENTENCE.finditer(line):
+        if m.start() > at:
+            return line[begin : m.start()]
+        begin = m.end()
+    return line[begin:]
+
+
+def messages(text: str) -> set[str]:
+    """Masked forms of the lines of ``text`` and of the sentences in them, stripped of bullets and rules."""
+    found = set()
+    for line in mask(text).split("\n"):
+        line = " ".join(line.split()).strip(_EDGE)
+        if line:
+            found.add(line)
+            if ". " in line or "! " in line or "? " in line or "… " in line:
+                found.update(s.strip(_EDGE) for s in _SENTENCE.split(line))
+    found.discard("")
+    return found
+
 
+def units(text: str) -> set[tuple[str, bool, str]]:
+    """``(form, certain, unit)`` of one text: all its messages and fields.
 
-def mask(message: str) -> str:
-    """Lower case, single spaces, dates, addresses and numbers masked."""
-    text = _ADDRESS.sub("<addr>", _DATES.sub("<date>", message))
-    return " ".join(_NUMBER.sub("<n>", text).lower().split())
+    ``form`` is ``message``, ``latin``, ``mash`` or the syntax of a field.
+    """
+    found, written, text = set(fields(text)), text, plain(text)
+    if text is not written:  # escaped syntax comes to light; what reads as an angle bracket now was looked at as written
+        found.update(f for f in fields(text) if f[0] != "angle")
+    for m in messages(text):
+        if latin_filler(m):
+            found.add(("latin", True, "<latin>"))
+        elif sum(m.count(w) for w in _MASH_WORDS) > 3 and _MASH.search(m) and not MENTION.search(m):
+            found.add(("mash", True, "<mash>"))
+        found.add(("message", False, m))
+    return found
 
 
-def placeholder(message: str) -> tuple[str, str] | None:
-    """``(syntax, field)`` of the first placeholder that the message leaves unfilled."""
-    for m in _PLACE.finditer(message):
-        if _EDITORIAL.fullmatch(m[0]):
-            continue
-        return m.lastgroup, m[0]
-    m = _PLACE_ANY_CASE.search(message)
-    if m:
-        return "insert", m[0]
-    m = _ESCAPED_ANGLE.search(message)
-    return ("escaped_angle", m[0]) if m else None
-
-
-def classify(message: str) -> tuple[str, bool, str] | None:
-    """``(kind, certain, masked form)`` of one message, or None."""
-    masked = mask(plain(message))
-    found = placeholder(message if message.isascii() else normalize("NFC", message))
-    mention = MENTION.search(masked)
-    if found and not mention:
-        syntax, field = found
-        return "placeholder", True, f"<{syntax}>"
-    if latin_filler(masked):
-        return "filler", True, "<latin>"
-    for kind, certain, rule in _RULES:
-        if rule.search(masked):
-            return None if mention and kind != "script" else (kind, certain, masked)
+def classify(form: str, unit: str) -> str | None:
+    """Kind of a unit that recurs widely (or is certain), or None."""
+    if form in FIELDS:
+        return "placeholder"
+    if form != "message":
+        return "filler"
+    if len(unit.split()) > LONGEST_MESSAGE:
+        return None
+    for kind, rule in _RULES:
+        if rule.search(unit):
+            return None if MENTION.search(unit) else kind
     return None
 
 
-def messages(text: str) -> Iterator[str]:
-    """Lines that may hold a message, whole and cut into sentences."""
-    if not suspicious(text):
-        return
-    for line in text.split("\n"):
-        if suspicious(line):
-            parts = _SENTENCE.split(line)
-            if len(parts) > 1:
-                yield from parts
-            else:
-                yield line
+UNITS = "doc_id bigint, source string, form string, certain boolean, unit string"
+_UNITS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("form", pa.string()), ("certain", pa.bool_()), ("unit", pa.string())])
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All units of ``doc_id, source, text``, each once per document."""
+    for batch in batches:
+        rows = [
+            (doc, source, *u)
+            for doc, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for u in units(text)
+        ]
+        columns = zip(*rows) if rows else [[]] * len(_UNITS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _UNITS)], schema=_UNITS)
 
 
-RESIDUE = "doc_id bigint, source string, kind string, certain boolean, message string"
-_RESIDUE = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("certain", pa.bool_()), ("message", pa.string())])
+KINDS = "h bigint, form string, certain boolean, kind string, unit string"
+_KINDS = pa.schema([("h", pa.int64()), ("form", pa.string()), ("certain", pa.bool_()), ("kind", pa.string()), ("unit", pa.string())])
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Messages of ``doc_id, source, text`` that some rule matches, each once per document."""
+def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, form, certain, unit`` with their kind; units of no kind go."""
     for batch in batches:
-        rows: list[tuple] = []
-        for doc, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            seen = {c for m in messages(text) if (c := classify(m))}
-            rows.extend((doc, source, *c) for c in seen)
-        columns = zip(*rows) if rows else [[]] * len(_RESIDUE)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESIDUE)], schema=_RESIDUE)
+        kinds = [classify(f, u) for f, u in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+        out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kinds, pa.string()), batch.column(3)], schema=_KINDS)
+        yield out.filter(pa.array([k is not None for k in kinds], pa.bool_()))
 
 
-def find_residue(documents: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """``flagged (doc_id, kind)`` and ``groups (kind, certain, message, documents, sources)``.
+def find_residue(documents: DataFrame, spark: SparkSession, widely: int = WIDELY) -> tuple[DataFrame, DataFrame]:
+    """``flagged (doc_id, kind)`` and ``groups (kind, form, unit, documents, sources)``.
 
     ``documents (doc_id, source, text)``. Null and blank texts are no case; a
-    null source counts as one source of its own.
+    null source counts as one source of its own. ``groups`` holds the units that
+    are certain or stand in ``widely`` sources, and have a kind.
     """
     scratch = Scratch(spark, "residue")
     texts = documents.where("doc_id is not null and length(text) > 0").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    hits = scratch.cut(texts.mapInArrow(scan, RESIDUE).withColumn("h", F.xxhash64("kind", "message")))
-    per_source = hits.groupBy("h", "kind", "certain", "message", "source").agg(F.countDistinct("doc_id").alias("n"))
-    groups = per_source.groupBy("h", "kind", "certain", "message").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("sources"))
-    wide = groups.where(~F.col("certain") & (F.col("sources") >= WIDELY)).select("h", "kind", "message")
-    uncertain = hits.where(~F.col("certain")).join(wide, ["h", "kind", "message"], "left_semi")
-    flagged = hits.where("certain").select("doc_id", "kind").unionByName(uncertain.select("doc_id", "kind")).distinct()
+    found = texts.mapInArrow(scan, UNITS).select("doc_id", F.xxhash64("source").alias("s"), F.xxhash64("form", "unit").alias("h"), "certain", "form", "unit")
+    found = scratch.cut(found)  # columns apart: what follows reads hashes, and texts of wide units only
+    per_source = found.groupBy("h", "s", "certain").agg(F.countDistinct("doc_id").alias("n"))
+    counted = per_source.groupBy("h", "certain").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("sources"))
+    wide = scratch.cut(counted.where(F.col("certain") | (F.col("sources") >= widely)).select("h", "documents", "sources"))
+    shown = found.select("h", "form", "certain", "unit").join(wide.select("h"), "h", "left_semi")
+    shown = shown.groupBy("h", "form", "certain").agg(F.min("unit").alias("unit"))
+    kinds = shown.select("h", "form", "certain", "unit").mapInArrow(judge, KINDS)
+    groups = scratch.cut(kinds.join(wide, "h").select("h", "kind", "form", "unit", "documents", "sources"))
+    flagged = found.select("doc_id", "h").join(groups.select("h", "kind"), "h").select("doc_id", "kind").distinct()
     return flagged, groups.drop("h")
 
 
@@ -327,7 +327,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_message_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every residue message in masked form with its documents and sources."""
+    """Every residue unit in masked form with its documents and sources."""
     return find_residue(_documents(spark, sf_dir), spark)[1]
 
 

@@ -51,4 +51,4 @@ def test_one_message_in_a_third_of_the_documents(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     flagged, groups = residue.find_residue(df, spark)
     assert {r.doc_id for r in flagged.collect()} == set(range(0, 900, 3))
-    assert [(r.documents, r.sources) for r in groups.collect()] == [(300, 7)]
+    assert [(r.unit, r.documents, r.sources) for r in groups.collect()] == [("<n> not found", 300, 7)]
