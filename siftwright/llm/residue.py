@@ -60,7 +60,9 @@ FIELDS = {
     "curly": (False, "{", rf"(?<![{{$#!%\w])\{{{_FIELD}\}}(?![}}])"),
     "undefined": (False, "undefined", r"(?<!\w)undefined(?!\w)"),
 }
-_FIELDS = [(name, certain, (need,) if isinstance(need, str) else need, re.compile(p)) for name, (certain, need, p) in FIELDS.items()]
+_FIELDS = [
+    (name, certain, need, re.compile(p)) for name, (certain, needs, p) in FIELDS.items() for need in ((needs,) if isinstance(needs, str) else needs)
+]
 #: Roman numerals and other upper-case words in square brackets that editors write.
 _EDITORIAL = re.compile(r"\[(?:[IVXLCDM]+|SIC|N\.?D\.?[RTA]\.?|OMISSIS|A|B|C|D)\]")
 _OPEN, _CLOSE = "«\"'“‘`„", "»\"'”’`“"
@@ -151,12 +153,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 LATIN_WORDS, LATIN_SHARE = 8, 0.8
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
-_DATES = re.compile(r"\b\d{1,4}[./\-]\d{1,2}[./\-]\d{1,4}\b")
+_DATES = re.compile(r"\d(?<!\w\d)\d{0,3}[./\-]\d{1,2}[./\-]\d{1,4}\b")
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _MAIL = re.compile(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b")
 _PATH = re.compile(r"(?<![\w<])/(?:[\w.\-]+/)+[\w.\-]*")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_QUOTED = re.compile(r"(?<!\w)(['\"])[\w.\-]+\1(?!\w)")
+_QUOTED = re.compile(r"(['\"])(?<!\w['\"])[\w.\-]+\1(?!\w)")
 _SCRIPT = re.compile(r"\b(?:java script|js)\b")
 _EDGE = " \t\r\f\v\u00a0\u200b\ufeff*•·-–—_|#=~"
 
@@ -183,23 +185,21 @@ def mask(text: str) -> str:
 
 def latin_filler(masked: str) -> bool:
     """A run of made-up words with Latin endings and no Latin function words."""
-    near = sum(w.endswith(_ENDINGS) for w in masked.translate(_NO_STOPS).split())
-    if near < LATIN_SHARE * LATIN_WORDS or 3 * near < masked.count(" "):  # cheap and never too strict
+    spaced = masked.split()
+    if len(spaced) < LATIN_WORDS or not _LATIN_FUNCTION.isdisjoint(spaced):
         return False
     words = _LETTERS.findall(masked)
-    if len(words) < LATIN_WORDS or not _LATIN_FUNCTION.isdisjoint(words):
+    if sum([w.endswith(_ENDINGS) for w in words]) < LATIN_SHARE * max(len(words), LATIN_WORDS):
         return False
-    return sum(len(w) > 3 and w.endswith(_ENDINGS) and w.isascii() for w in words) >= LATIN_SHARE * len(words)
-
-
-_NO_STOPS = str.maketrans(".,;:!?()\"'", " " * 10)
+    made_up = sum(len(w) > 3 and w.endswith(_ENDINGS) and w.isascii() for w in words)
+    return made_up >= LATIN_SHARE * len(words) and _LATIN_FUNCTION.isdisjoint(words)
 
 
 def fields(text: str) -> Iterator[tuple[str, bool, str]]:
     """``(syntax, certain, field)`` of the fields left unfilled in ``text``, but for quoted and mentioned ones."""
     low = text.lower()
     for name, certain, need, pattern in _FIELDS:
-        if not any(n in low for n in need):
+        if need not in low:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -245,10 +245,12 @@ def units(text: str) -> set[tuple[str, bool, str]]:
     found, written, text = set(fields(text)), text, plain(text)
     if text is not written:  # escaped syntax comes to light; what reads as an angle bracket now was looked at as written
         found.update(f for f in fields(text) if f[0] != "angle")
+    low = text.lower()
+    typed = sum(map(low.count, _MASH_WORDS)) > 3
     for m in messages(text):
         if latin_filler(m):
             found.add(("latin", True, "<latin>"))
-        elif sum(m.count(w) for w in _MASH_WORDS) > 3 and _MASH.search(m) and not MENTION.search(m):
+        elif typed and sum(map(m.count, _MASH_WORDS)) > 3 and _MASH.search(m) and not MENTION.search(m):
             found.add(("mash", True, "<mash>"))
         found.add(("message", False, m))
     return found
