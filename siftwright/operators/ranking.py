@@ -27,6 +27,19 @@ def first_by(rows: DataFrame, key: list[str], *order: Column | str) -> DataFrame
     return best.select(*key, *[F.col("_b")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
+def _running_out(rows: DataFrame, quotas: DataFrame, by: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their hash bucket, and per stratum the bucket in which its quota runs out and what is left for it."""
+    bucketed = rows.withColumn("_bucket", F.substring(order, 1, BUCKET_DIGITS))
+    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bucket")
+    cum = counts.withColumn("_upto", F.sum("_n").over(upto))
+    joined = cum.join(quotas, by, "inner") if by else cum.crossJoin(quotas.limit(1))  # one row
+    cut = joined.where(F.col("_upto") - F.col("_n") < F.col("quota")).groupBy(*by).agg(
+        F.max(F.struct("_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("left"))).alias("_cut")
+    )
+    return bucketed, F.broadcast(cut)  # a row per stratum
+
+
 def take_lowest(rows: DataFrame, quotas: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
     """The ``quota`` rows of lowest ``order`` hash (hex text) in each stratum ``by``; ties by ``key``.
 
@@ -36,22 +49,26 @@ def take_lowest(rows: DataFrame, quotas: DataFrame, by: list[str], key: str, ord
     which the quota runs out is found for each stratum, whole buckets below it
     are taken as they are, and only that one bucket is ranked.
     """
-    bucketed = rows.withColumn("_bucket", F.substring(order, 1, BUCKET_DIGITS))
-    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy("_bucket")
-    cum = counts.withColumn("_upto", F.sum("_n").over(upto))
-    joined = cum.join(quotas, by, "inner") if by else cum.crossJoin(quotas.limit(1))  # one row
-    # the first bucket whose running count reaches the quota, and what is left for it
-    cut = joined.where(F.col("_upto") - F.col("_n") < F.col("quota")).groupBy(*by).agg(
-        F.max(F.struct("_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("left"))).alias("_cut")
-    )
-    with_cut = bucketed.join(F.broadcast(cut), by, "inner") if by else bucketed.crossJoin(F.broadcast(cut))  # a row per stratum
+    bucketed, cut = _running_out(rows, quotas, by, order)
+    with_cut = bucketed.join(cut, by, "inner") if by else bucketed.crossJoin(cut)
     below = with_cut.where(F.col("_bucket") < F.col("_cut._bucket"))
     w = Window.partitionBy(*by, "_bucket").orderBy(order, key)
     at = with_cut.where(F.col("_bucket") == F.col("_cut._bucket")).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_cut.left"))
     return below.drop("_bucket", "_cut").unionByName(at.drop("_bucket", "_cut", "_rank"))
 
 
+def mark_lowest(rows: DataFrame, quotas: DataFrame, by: list[str], key: str, order: str, name: str = "taken") -> DataFrame:
+    """All rows with a boolean ``name``: whether ``take_lowest`` takes the row. A stratum without a quota takes none."""
+    bucketed, cut = _running_out(rows, quotas, by, order)
+    with_cut = bucketed.join(cut, by, "left")
+    side = F.coalesce(F.col("_bucket") < F.col("_cut._bucket"), F.lit(False))
+    ranked = F.coalesce(F.col("_bucket") == F.col("_cut._bucket"), F.lit(False))
+    w = Window.partitionBy(*by, "_bucket").orderBy(order, key)
+    at = with_cut.where(ranked).withColumn(name, F.row_number().over(w) <= F.col("_cut.left"))
+    rest = with_cut.where(~ranked).withColumn(name, side)
+    return rest.drop("_bucket", "_cut").unionByName(at.drop("_bucket", "_cut"))
+
+
 def rank_in_hash_order(rows: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
     """Adds ``rank`` (0-based) and ``group_rows``: the place of each row of a stratum in hash order.
 
