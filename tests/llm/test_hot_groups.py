@@ -28,12 +28,12 @@ def test_one_source_ties_a_third_of_the_groups(spark):
     assert len(splits) == 1800 and len({splits[f"h{i}"] for i in range(600)}) == 1
 
 
-def test_one_key_with_a_third_of_the_rows(spark):
+def test_one_key_with_a_third_of_the_rows(spark, tmp_path):
     rows = [(f"h{i}", "S", "G", 1 + i % 3) for i in range(500)] + [(f"r{i}", f"s{i}", "g", 1 + i % 3) for i in range(1000)]
     df = spark.createDataFrame(rows, "id string, source_id string, group_id string, snapshot_no int")
-    whole = {r.id for r in ledger.ledger_sample(df, spark, rate=0.3).collect()}
+    whole = {r.id for r in ledger.ledger_sample(df, spark, str(tmp_path / "a"), rate=0.3).collect()}
     assert len(whole & {f"h{i}" for i in range(500)}) in (0, 500)
-    assert whole == {r.id for r in ledger.ledger_sample(df.repartition(5), spark, rate=0.3).collect()}
+    assert whole == {r.id for r in ledger.ledger_sample(df.repartition(5), spark, str(tmp_path / "b"), rate=0.3).collect()}
 
 
 def test_ranks_of_a_dominant_category(spark):

@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 import pandas as pd
 
@@ -15,9 +16,10 @@ def rows(n=1500, seed=1):
     return out + out[:20]
 
 
-def sample(spark, data, **kw):
+def sample(spark, data, path=None, **kw):
     df = spark.createDataFrame(data, L)
-    return {r.id: r.chosen_at for r in ledger.ledger_sample(df, spark, **kw).collect()}
+    path = path or tempfile.mkdtemp() + "/ledger"
+    return {r.id: r.chosen_at for r in ledger.ledger_sample(df, spark, path, **kw).collect()}
 
 
 def test_earlier_choices_stay(spark):
@@ -30,6 +32,49 @@ def test_earlier_choices_stay(spark):
         assert {i for i, at in whole.items() if at <= k} == set(part)
 
 
+def test_stored_ledger_gives_the_same_as_one_run(spark, tmp_path):
+    data = rows()
+    path = str(tmp_path / "ledger")
+    for k in range(1, 7):
+        grown = sample(spark, [r for r in data if r[3] is not None and r[3] <= k], path, rate=0.2)
+    assert grown == sample(spark, data, rate=0.2)
+    assert len(ledger.Ledger(spark, path).versions()) == 6
+    assert sample(spark, data, path, rate=0.2) == grown and len(ledger.Ledger(spark, path).versions()) == 6
+
+
+def test_late_rows_displace_nothing(spark, tmp_path):
+    data = rows()
+    path = str(tmp_path / "ledger")
+    once = sample(spark, data, path, rate=0.1)
+    late = [(f"late{i}", f"sl{i}", f"g{i % 9}", 1 + i % 2, "") for i in range(600)]
+    moved = [(i, "elsewhere", "g", 1, "") for i in list(once)[:5]]  # redelivered under another key
+    after = sample(spark, data + late + moved, path, rate=0.1)
+    assert set(once) <= set(after) and any(i.startswith("late") for i in after)
+    keys = spark.createDataFrame(data + late + moved, L).where("id is not null and snapshot_no is not null").select(ledger.sampling_key().alias("k")).distinct().count()
+    assert ledger.Ledger(spark, path).load().where("chosen").count() == -(-keys // 10)
+
+
+def test_deleted_rows_free_no_place(spark, tmp_path):
+    data = rows()
+    path = str(tmp_path / "ledger")
+    once = sample(spark, data, path, rate=0.1)
+    left = [r for i, r in enumerate(data) if i % 5]
+    after = sample(spark, left, path, rate=0.1)
+    assert set(after) == set(once) & {r[0] for r in left}
+    new = [("new", "snew", "g", 6, "")]
+    assert set(sample(spark, data + new, path, rate=0.1)) - {"new"} == set(once)
+    assert sample(spark, [], path, rate=0.1) == {}
+
+
+def test_a_run_that_broke_off_leaves_no_trace(spark, tmp_path):
+    data = rows()
+    path = str(tmp_path / "ledger")
+    once = sample(spark, data[:900], path, rate=0.1)
+    spark.createDataFrame([("junk", True, 1)], ledger.LEDGER).write.parquet(path + "/_broken")
+    assert set(once) <= set(sample(spark, data, path, rate=0.1))
+    assert ledger.Ledger(spark, path).load().where("key = 'junk'").count() == 0
+
+
 def test_layout_and_order_do_not_matter(spark):
     data = rows()
     once = sample(spark, data, rate=0.1)
@@ -38,10 +83,10 @@ def test_layout_and_order_do_not_matter(spark):
     assert sample(spark, data[:0], rate=0.1) == {}
 
 
-def test_quota_is_met(spark):
+def test_quota_is_met(spark, tmp_path):
     df = spark.createDataFrame(rows(), L)
     keyed = df.where("id is not null and snapshot_no is not null").select(ledger.sampling_key().alias("k")).distinct().count()
-    chosen = {r.k for r in ledger.ledger_sample(df, spark, rate=0.1).select(ledger.sampling_key().alias("k")).collect()}
+    chosen = {r.k for r in ledger.ledger_sample(df, spark, str(tmp_path / "x"), rate=0.1).select(ledger.sampling_key().alias("k")).collect()}
     assert len(chosen) == -(-keyed // 10)
 
 
