@@ -1,23 +1,20 @@
 """Problem 1: the same or nearly the same item in training and evaluation splits.
 
 Records are canonicalised (case, punctuation, white space, escapes, accents of
-the question, order of the options) and collapsed by the hash of what is left;
-everything below works on one representative per canonical record and is
-expanded to ids at the end.
-
-Near matches need hashes that survive small edits. A canonical record carries
-one hash per anchor word of its question, each together with its right answer
-and its numbers: the anchors are the words that are rarest in the corpus, as
-many as the edits that two copies may differ by, plus one, so two copies share
-an anchor whatever words were changed. Words in use all over the corpus rank
-last; where a question has no others, the anchor is joined with the options,
-each wrong one left out in turn, so a bucket stays small. Evaluation hashes are
-joined with training hashes, and the words and options of each pair of
-records that share an anchor decide.
-
-The list of frequent words is the only thing collected: words in at least one of
-``COMMON_SHARE`` of the questions, of which there can be no more than words in
-a question times ``COMMON_SHARE``.
+the question, order of the options); records of one canonical form are a class,
+named by its hash. Classes with members on both sides are exact overlaps.
+Everything below works on classes; ids are joined to them at the end, and the
+report multiplies their counts without expanding anything.
+
+Near matches need hashes that survive small edits. Two items can only match if
+right answer and numbers agree and if every name and quoted word of one stands
+in the other. So a record with such a word sends a probe, the hash of its right
+answer, numbers and longest name or quoted word, and meets the other side's
+records that hold that word under the same answer and numbers. Of two records
+without any, a number of words may differ that is bounded by ``MAX_EDITS`` and
+``MAX_INTRO``, so they share one of their ``ANCHORS`` words of lowest hash, and
+one wrong option at least; their keys are made of these. No pair that the
+comparison accepts is missed, and no statistic of the table enters into it.
 """
 
 from __future__ import annotations
@@ -25,9 +22,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +39,25 @@ TRAINING = "pilot_train"
 MAX_EDITS = 5
 #: Words of an introductory phrase, which are free.
 MAX_INTRO = 8
-#: A word is common if one question in so many holds it.
-COMMON_SHARE = 500
-ANCHORS = MAX_EDITS + 1
+#: So many words of lowest hash of two questions have one in common if no more words than that differ.
+ANCHORS = MAX_EDITS + MAX_INTRO + 1
+#: Small words that are ordinary also where the case of a text shows nothing: fixed values.
+SMALL_WORDS = frozenset(
+    "a ad al alla allo ai agli alle anche ancora allora che chi con come cosa cui da dal dalla dallo dai dagli dalle del della dello dei degli delle "
+    "di dove dunque e ed era fu gia il i gli in infatti inoltre invece l la le lo ma mai ne nel nella nello nei negli nelle non o oggi ossia per pero "
+    "piu poi proprio pure qual quale quali quando quanto quel quella quello quindi se sempre si sia solo sono su sul sulla suo sua tra fra tutto un una uno "
+    "about after all also an and are as at be but by for from has have how however in is it its more not now of on or so some such than that the their then "
+    "there these this thus to too was were what when where which who why will with "
+    "au aussi avec ce cette dans de des du elle en encore est et il la le les mais ou par pas plus pour qui que sur un une "
+    "aber als am an auch auf aus bei das dem den der des die doch ein eine einem einen einer es fur hat im ist mit nach nicht noch nun oder sich sie so "
+    "und von war was wer wie wo zu zum zur "
+    "al como con cual de del donde el en entonces es esta este la las lo los mas muy no o para pero por que quien se si sin su sus tambien un una y ya".split()
+)
 
 _INVISIBLE = re.compile("[­​-‍⁠﻿]")
+option_key = lru_cache(maxsize=1 << 16)(alnum_key)
+#: Words of a token, folded.
+folded = lru_cache(maxsize=1 << 17)(lambda token: tuple(_TOKEN.findall(strip_marks(token).casefold())))
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTED = re.compile(r"[«“\"„‹]\s*([^\W_]+)\s*[»”\"“›]")
 _INTRO = re.compile(r"^\W*(?:\([^()]{1,60}\)|\[[^\[\]]{1,60}\]|[^.:!?]{1,60}[.:!])\s+(?=\S)")
@@ -103,8 +116,7 @@ def tokenise(question: str) -> tuple[list[str], str]:
     capital = sum(t[0].isupper() for t in letters)
     plain = capital <= max(1, 0.75 * len(letters)) and any(t[0].islower() and len(t) > 2 for t in letters) and capital > 0
     for k, t in enumerate(tokens):
-        w = strip_marks(t).casefold()
-        for part in _TOKEN.findall(w):
+        for part in folded(t):
             words.append(part)
             if not part.isalpha() and any(map(str.isdigit, part)):
                 kinds.append("d")
@@ -120,31 +132,57 @@ def tokenise(question: str) -> tuple[list[str], str]:
 
 
 ITEM = T.StructType([
-    T.StructField("words", T.ArrayType(T.StringType())), T.StructField("kinds", T.StringType()),
-    T.StructField("right", T.StringType()), T.StructField("wrong", T.ArrayType(T.StringType())),
+    T.StructField("words", T.StringType()), T.StructField("kinds", T.StringType()),
+    T.StructField("right", T.StringType()), T.StructField("wrong", T.StringType()),
+    T.StructField("probe", T.LongType()), T.StructField("held", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType())),
 ])
 
 
+def readings(words: list[str], kinds: str) -> dict[str, str]:
+    """Class of each word; of a word that stands twice, the reading that shows an ordinary word counts."""
+    return {w: k for w, k in sorted(zip(words, kinds), key=lambda x: "nufoqd".index(x[1]))}
+
+
+def join_keys(words: list[str], kinds: str, right: str, wrong: list[str]) -> tuple[int | None, list[int], list[int] | None]:
+    """``(probe, held, keys)`` of an item: its probe, if it has a name or quoted word, what other
+    probes find it by, and, if it has no probe, the keys by which two such items meet."""
+    def h(*parts: str) -> int:
+        return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+
+    base = right + "\x1e" + " ".join(sorted(w for w, k in zip(words, kinds) if k == "d"))
+    kind = readings(words, kinds)
+    rest = [w for w, k in kind.items() if k != "d"]
+    held = [h(base, w) for w in rest]
+    marks = [w for w in rest if kind[w] in "nq"]
+    if marks:
+        return h(base, max(marks, key=lambda w: (len(w), w))), held, None
+    anchors = sorted(rest, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:ANCHORS] or [""]
+    return None, held, [h(base, o, w) for o in dict.fromkeys(wrong) for w in anchors]
+
+
 def canonical_items(question: pd.Series, options: pd.Series, gold: pd.Series, answer: pd.Series) -> pd.DataFrame:
-    """Canonical form of items of four options with a known right answer; null for others.
+    """Canonical form and join keys of items of four options with a known right answer; null for others.
 
     The right answer is the option that ``gold`` counts to, or, where ``gold``
     is missing or out of range, the option that ``answer`` spells.
     """
     out = []
     for q, o, g, a in zip(question, options, gold, answer):
-        item = (None, None, None, None)
+        item = (None,) * 7
         if q is not None and o is not None and len(o) == 4:
             words, kinds = tokenise(q)
-            keys = [alnum_key(x) for x in o]
+            keys = [option_key(x or "") for x in o]
             at = int(g) if g is not None and g == g and 0 <= g < 4 else None
             if at is None and a:
-                key = alnum_key(a)
+                key = option_key(a)
                 at = keys.index(key) if key and keys.count(key) == 1 else None
             if words and at is not None and keys[at]:
-                item = (words, kinds, keys[at], sorted(keys[:at] + keys[at + 1:]))
+                wrong = sorted(keys[:at] + keys[at + 1:])
+                item = (" ".join(words), kinds, keys[at], "\x1f".join(wrong), *join_keys(words, kinds, keys[at], wrong))
         out.append(item)
-    return pd.DataFrame(out, columns=["words", "kinds", "right", "wrong"])
+    columns = ["words", "kinds", "right", "wrong", "probe", "held", "keys"]
+    # 64-bit values beside nulls: never by way of floats
+    return pd.DataFrame({c: pd.array([x[k] for x in out], dtype="Int64") if c == "probe" else pd.Series([x[k] for x in out], dtype=object) for k, c in enumerate(columns)})
 
 
 def slip(a: str, b: str) -> bool:
@@ -166,12 +204,12 @@ def same_options(a: list[str], b: list[str]) -> bool:
     return all(map(slip, x, y)) or (len(x) == 2 and slip(x[0], y[1]) and slip(x[1], y[0]))
 
 
-def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> bool:
+def same_question(wa: list[str], ka: str, wb: list[str], kb: str) -> bool:
     """Equal but for an introduction and a few ordinary words.
 
     A word that only one side has must be ordinary: written in lower case amid
-    text that has capitals, or common, or, in a text whose case shows nothing,
-    in the place of an ordinary word of the other side. Numbers, quoted words
+    text that has capitals, or a small word, or, in a text whose case shows
+    nothing, in the place of an ordinary word of the other side. Numbers, quoted words
     and names must all agree.
     """
     if wa == wb:
@@ -180,11 +218,10 @@ def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> boo
     only_a, only_b = ca - cb, cb - ca
     if not only_a and not only_b:
         return True  # the same words in another order
-    # of a word that stands twice, the reading that shows an ordinary word counts
-    kind_a, kind_b = ({w: k for w, k in sorted(zip(ws, ks), key=lambda x: "nufoqd".index(x[1]))} for ws, ks in ((wa, ka), (wb, kb)))
+    kind_a, kind_b = readings(wa, ka), readings(wb, kb)
 
     def ordinary(w: str, kind: str) -> bool:
-        return kind in "of" or (kind == "u" and w in common)
+        return kind in "of" or (kind == "u" and w in SMALL_WORDS)
 
     def intro(words: list[str], only: Counter, other: Counter) -> int:
         n = 0
@@ -205,101 +242,121 @@ def same_question(wa: list[str], ka: str, wb: list[str], kb: str, common) -> boo
     return 2 * sum((ca & cb).values()) >= max(len(wa), len(wb))
 
 
-def anchors(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Series, frequent: frozenset) -> pd.Series:
-    """Join keys of an item: hashes of anchor, right answer and numbers (and options for frequent anchors)."""
-    import xxhash
-
-    def h(*parts: str) -> int:
-        return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
-
-    out = []
-    for ws, ks, r, wr in zip(words, kinds, right, wrong):
-        wr = list(wr)
-        base = r + "\x1e" + " ".join(sorted(w for w, k in zip(ws, ks) if k == "d"))
-        rest = {w for w, k in zip(ws, ks) if k != "d"}
-        chosen = sorted(rest, key=lambda w: (w in frequent, xxhash.xxh64_intdigest(w), w))[:ANCHORS]
-        keys = []
-        for w in chosen or [""]:
-            if w in frequent or not w:
-                keys += [h(base, w, *(wr[:i] + wr[i + 1:])) for i in range(len(wr))]
-            else:
-                keys.append(h(base, w))
-        out.append(list(dict.fromkeys(keys)))
-    return pd.Series(out)
-
+_PAIR = ["e1", "e2", "t1", "t2"]
 
-def common_words(items: DataFrame) -> tuple[frozenset, frozenset]:
-    """Words that at least one canonical question in ``COMMON_SHARE`` holds, and the ordinary ones of them.
 
-    Counted over all items; a word that is mostly written as a name is frequent
-    but not ordinary. There can be no more than words-per-question *
-    COMMON_SHARE frequent words.
-    """
-    n = items.count()
-    spread = items.select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.split("kinds", "").alias("k"))).alias("x"))
-    counted = spread.groupBy(F.col("x.w").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x.k") == "o").alias("o"), F.count_if(F.col("x.k").isin("n", "d", "q")).alias("other")
-    )
-    ordinary = (F.col("o") >= 4 * F.col("other")) & (F.col("o") + F.col("other") > 0)
-    often = counted.where(F.col("n") >= max(2, n // COMMON_SHARE)).select("w", ordinary.alias("ordinary")).collect()
-    return frozenset(r.w for r in often), frozenset(r.w for r in often if r.ordinary)
+def link_classes(items: DataFrame, spark: SparkSession, training: str = TRAINING) -> tuple[DataFrame, DataFrame]:
+    """``linked (e1, e2, t1, t2, same)`` and ``members (id, train, h1, h2)``.
 
-
-def find_overlaps(items: DataFrame, spark: SparkSession, training: str = TRAINING) -> DataFrame:
-    """``(train_id, eval_id, same)`` for every training and evaluation record that ask the same.
-
-    ``items`` needs ``id, source_split, question, options, gold`` and
-    ``answer`` (may be null). ``same`` tells whether the canonical records are
-    equal. Rows with a null id or split, blank questions, other than four
-    options or no known right answer are no case. An id delivered repeatedly
-    counts once.
+    ``linked`` has each evaluation class with each training class that asks the
+    same, ``same`` telling whether they are one canonical form; the two hashes
+    name a class. Parameters and cases as in ``find_overlaps``.
     """
     scratch = Scratch(spark, "overlap")
     canon = F.pandas_udf(canonical_items, ITEM)
     rows = items.where("id is not null and source_split is not null and question is not null and size(options) = 4").select(
         "id", (F.col("source_split") == training).alias("train"), canon("question", "options", "gold", "answer").alias("c")
     ).where("c.words is not null")
-    text = F.concat_ws("\x1e", F.array_join("c.words", " "), "c.right", F.array_join("c.wrong", "\x1f"))
-    cls = ["h1", "h2"]
-    body = ["words", "kinds", "right", "wrong"]
-    records = scratch.cut(rows.select("id", "train", F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), *["c." + c for c in body]))
-    members = records.select("id", "train", *cls).distinct()
-    classes = scratch.cut(records.groupBy(*cls).agg(
-        F.min(F.struct("id", *body)).alias("m"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"),
-    ).select(*cls, *["m." + c for c in body], "in_train", "in_eval"))
-    frequent, ordinary = common_words(classes)
-    ranked_last, known_words = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(ordinary)
-
-    def keys_of(words: pd.Series, kinds: pd.Series, right: pd.Series, wrong: pd.Series) -> pd.Series:
-        return anchors(words, kinds, right, wrong, ranked_last.value)
-
-    keys = F.pandas_udf(keys_of, "array<bigint>")("words", "kinds", "right", "wrong")
-    keyed = scratch.cut(classes.select(*cls, "in_train", "in_eval", keys.alias("keys"))).select(*cls, "in_train", "in_eval", F.explode("keys").alias("key"))
-    left = keyed.where("in_eval").select("key", F.col("h1").alias("e1"), F.col("h2").alias("e2"))
-    right = keyed.where("in_train").select("key", F.col("h1").alias("t1"), F.col("h2").alias("t2"))
-    met = left.join(right, "key").where("e1 <> t1 or e2 <> t2").select("e1", "e2", "t1", "t2").distinct()
-    pairs = met.join(classes.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), *[F.col(c).alias("e_" + c) for c in body]), ["e1", "e2"])
-    pairs = pairs.join(classes.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), *[F.col(c).alias("t_" + c) for c in body]), ["t1", "t2"])
+    text = F.concat_ws("\x1e", "c.words", "c.right", "c.wrong")
+    records = scratch.cut(rows.select("id", "train", F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), "c.*"))
+    side = records.groupBy("h1", "h2").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e"))
+    equal = side.where("t and e").select(
+        F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.lit(True).alias("same")
+    )
+
+    def keyed(rows: DataFrame, key: str, to: str) -> DataFrame:
+        """Distinct keys of classes: copies count once before any join."""
+        value = F.explode(key) if key != "probe" else F.col(key)
+        return rows.select(value.alias("key"), F.col("h1").alias(to + "1"), F.col("h2").alias(to + "2")).distinct()
+
+    evals, trains = records.where("not train"), records.where("train")
+    met = keyed(evals.where("probe is not null"), "probe", "e").join(keyed(trains, "held", "t"), "key")
+    met = met.unionByName(keyed(evals.where("probe is null"), "held", "e").join(keyed(trains.where("probe is not null"), "probe", "t"), "key"))
+    met = met.unionByName(keyed(evals.where("probe is null"), "keys", "e").join(keyed(trains.where("probe is null"), "keys", "t"), "key"))
+    met = scratch.cut(met.where("e1 <> t1 or e2 <> t2").select(*_PAIR).distinct())
+
+    def with_body(pairs: DataFrame, of: str) -> DataFrame:
+        body = ["words", "kinds", "right", "wrong"]
+        ends = pairs.select(F.col(of + "1").alias("h1"), F.col(of + "2").alias("h2")).distinct()
+        bodies = records.join(ends, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct(*body)).alias("b"))
+        bodies = bodies.select(F.col("h1").alias(of + "1"), F.col("h2").alias(of + "2"), *[F.col("b")[c].alias(f"{of}_{c}") for c in body])
+        return scratch.cut(pairs.join(bodies, [of + "1", of + "2"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words.value
         for batch in batches:
             col = {f: batch.column(f).to_pylist() for f in batch.schema.names}
             keep = [
-                same_options(ew, tw) and same_question(a, ka, b, kb, known)
+                same_options(ew.split("\x1f"), tw.split("\x1f")) and same_question(a.split(" "), ka, b.split(" "), kb)
                 for ew, tw, a, ka, b, kb in zip(col["e_wrong"], col["t_wrong"], col["e_words"], col["e_kinds"], col["t_words"], col["t_kinds"])
             ]
-            yield batch.select(["e1", "e2", "t1", "t2"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.where("e_right = t_right").select("e1", "e2", "t1", "t2", *["e_" + c for c in body], *["t_" + c for c in body])
+    near = with_body(with_body(met, "e"), "t").where("e_right = t_right")
     near = near.mapInArrow(verify, "e1 bigint, e2 int, t1 bigint, t2 int").withColumn("same", F.lit(False))
-    equal = classes.where("in_train and in_eval").select(
-        F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.lit(True).alias("same")
+    linked = scratch.cut(near.select(*_PAIR, "same").unionByName(equal))
+    return linked, records.select("id", "train", "h1", "h2").distinct()
+
+
+def _side(members: DataFrame, train: bool, *extra: str) -> DataFrame:
+    """Members of one side under the names of that side in ``linked``."""
+    to, name = ("t", "train_id") if train else ("e", "eval_id")
+    rows = members.where("train" if train else "not train")
+    return rows.select(F.col("h1").alias(to + "1"), F.col("h2").alias(to + "2"), F.col("id").alias(name), *extra)
+
+
+def find_overlaps(items: DataFrame, spark: SparkSession, training: str = TRAINING) -> DataFrame:
+    """``(train_id, eval_id, same)`` for every training and evaluation record that ask the same.
+
+    ``items`` needs ``id, source_split, question, options, gold`` and
+    ``answer`` (may be null). ``same`` tells whether the canonical records are
+    equal. Rows with a null id or split, blank questions, other than four
+    options or no known right answer are no case. An id delivered repeatedly
+    counts once.
+    """
+    linked, members = link_classes(items, spark, training)
+    pairs = linked.join(_side(members, False), ["e1", "e2"]).join(_side(members, True), ["t1", "t2"])
+    return pairs.where("eval_id <> train_id").select("train_id", "eval_id", "same")
+
+
+def overlap_report(items: DataFrame, spark: SparkSession, training: str = TRAINING) -> DataFrame:
+    """Per evaluation split and source: distinct pairs, those of equal records, and evaluation records concerned.
+
+    Pairs of classes are multiplied by the counts of their members and never
+    expanded. Only ids that stand in several classes, or on both sides, could
+    count a pair twice; theirs are put together by id.
+    """
+    scratch = Scratch(spark, "overlap-report")
+    linked, members = link_classes(items, spark, training)
+    about = items.where("id is not null and source_split is not null").withColumn("_t", F.col("source_split") == training)
+    about = about.groupBy("id").agg(
+        F.min(F.when(~F.col("_t"), F.struct("source_split", "source"))).alias("r"), F.countDistinct("_t").alias("sides")
     )
-    linked = scratch.cut(near.unionByName(equal))
-    evals = members.where(~F.col("train")).select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("id").alias("eval_id"))
-    trains = members.where("train").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("id").alias("train_id"))
-    return linked.join(evals, ["e1", "e2"]).join(trains, ["t1", "t2"]).where("eval_id <> train_id").select("train_id", "eval_id", "same")
+    per_id = members.groupBy("id").agg(F.count(F.lit(1)).alias("places")).join(about, "id")
+    members = scratch.cut(members.join(per_id, "id").select("id", "train", "h1", "h2", "r.*", (F.col("places") > 1).alias("several")))
+    e_all, t_all = _side(members, False, "source_split", "source", "several"), _side(members, True, "several")
+    e_n = e_all.where("not several").groupBy("e1", "e2", "source_split", "source").agg(F.count(F.lit(1)).alias("n_e"))
+    t_n = t_all.where("not several").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_t"))
+    by = ["source_split", "source"]
+    counted = linked.join(e_n, ["e1", "e2"]).join(t_n, ["t1", "t2"]).groupBy(*by).agg(
+        F.sum(F.col("n_e") * F.col("n_t")).alias("pairs"), F.sum(F.when(F.col("same"), F.col("n_e") * F.col("n_t")).otherwise(0)).alias("exact_pairs")
+    )
+    wide = linked.join(e_all.where("several"), ["e1", "e2"]).join(t_all.drop("several"), ["t1", "t2"]).unionByName(
+        linked.join(t_all.where("several"), ["t1", "t2"]).join(e_all.where("not several"), ["e1", "e2"]).drop("several").withColumn("several", F.lit(True))
+        .select("t1", "t2", "e1", "e2", "same", "eval_id", *by, "several", "train_id")
+    )
+    wide = wide.where("eval_id <> train_id").groupBy("eval_id", "train_id", *by).agg(F.bool_or("same").alias("same"))
+    wide = scratch.cut(wide)
+    wide_n = wide.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if("same").alias("exact_pairs"))
+    # evaluation records: those with one place by the counts of their class, the others by id
+    trained = linked.join(t_all.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("e1", "e2").distinct()
+    one = trained.join(e_n, ["e1", "e2"]).groupBy(*by).agg(F.sum("n_e").alias("records"))
+    more = wide.join(e_all.where("several").select("eval_id").distinct(), "eval_id", "left_semi")
+    more = more.groupBy(*by).agg(F.countDistinct("eval_id").alias("records"))
+    zero = F.lit(0).cast("bigint")
+    parts = counted.select(*by, "pairs", "exact_pairs", zero.alias("records")).unionByName(wide_n.select(*by, "pairs", "exact_pairs", zero.alias("records")))
+    for part in (one, more):
+        parts = parts.unionByName(part.select(*by, zero.alias("pairs"), zero.alias("exact_pairs"), "records"))
+    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("pairs", "exact_pairs", "records")])
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,10 +371,4 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per evaluation split and source: pairs, exact pairs and records concerned."""
-    items = _items(spark, sf_dir)
-    found = Scratch(spark, "overlap-report").cut(find_overlaps(items, spark))
-    about = items.where("id is not null and source_split is not null").groupBy("id").agg(F.min(F.struct("source_split", "source")).alias("r"))
-    rows = found.join(about.select(F.col("id").alias("eval_id"), "r.*"), "eval_id")
-    return rows.groupBy("source_split", "source").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if("same").alias("exact_pairs"), F.countDistinct("eval_id").alias("records")
-    )
+    return overlap_report(_items(spark, sf_dir), spark)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from siftwright.llm import overlap as O
@@ -98,3 +100,59 @@ def test_leading_item_numbers(spark):
 def test_numbers_that_are_no_item_numbers():
     for text in ("1440 - anno di Carta", "3.5 litri di acqua sono quanti?", "12. Oktober 1492: wer landete?", "D. Tolli scrisse quale libro?", "5 - 3 quanto fa?", "12 navi salparono da dove?"):
         assert O.without_enumerator(text) == text
+
+
+def test_every_accepted_pair_meets():
+    """Pairs that the comparison accepts share a key, whatever was changed, dropped, added or put in front."""
+    rng = random.Random(5)
+    small = "alba bosco conte duna erba fiume grano isola lago monte notte orto ponte riva sale torre".split()
+    names = ["Velagna", "Mezia", "Tolli", "Dumira", "Brando"]
+    accepted = 0
+    for _ in range(4000):
+        words = [rng.choice(small) + rng.choice("aei") for _ in range(rng.randrange(4, 22))]
+        for n in rng.sample(names, rng.randrange(3)):
+            words.insert(rng.randrange(1, len(words)), n)
+        a, b = list(words), list(words)
+        for side in (a, b):
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(side))
+                if side[at] not in names:
+                    side[at : at + 1] = rng.choice(([], ["altro"], [side[at], "poi"], [rng.choice(small)]))
+                    side = side or ["x"]
+        b = [rng.choice(small) + "u" for _ in range(rng.randrange(9))] + b
+        turn = rng.choice((str, str.upper, str.title, str.lower))
+        ta, tb = turn(" ".join(a)), rng.choice((str, turn))(" ".join(b))
+        (wa, ka), (wb, kb) = O.tokenise(ta), O.tokenise(tb)
+        if not wa or not wb or not O.same_question(wa, ka, wb, kb):
+            continue
+        accepted += 1
+        x, y = O.join_keys(wa, ka, "r", ["p", "q", "s"]), O.join_keys(wb, kb, "r", ["p", "t", "u"])
+        assert x[0] in y[1] or y[0] in x[1] or set(x[2] or ()) & set(y[2] or ()), (ta, tb)
+    assert accepted > 1000
+
+
+def test_report_counts_without_expanding(spark):
+    rows = [row(f"t{i}", O.TRAINING) for i in range(6)] + [row(f"e{i}", "proxy_dev", Q if i % 2 else "Leggi con attenzione. " + Q.replace("ambientato", "posto")) for i in range(8)]
+    rows += [row("both", O.TRAINING), row("both", "proxy_dev"), row("two", "proxy_dev"), row("two", "proxy_dev", Q.replace("stampato", "poi stampato"))]
+    rows += [row("lone", "lr_calibration", Q.replace("1440", "1441")), row("z", "lr_calibration", Q.lower())]
+    df = spark.createDataFrame([(*r, None, f"s{len(r[0]) % 2}") for r in rows], "id string, source_split string, question string, options array<string>, gold int, answer string, train string, source string")
+    pairs = {(r.train_id, r.eval_id): False for r in O.find_overlaps(df, spark).collect()}
+    for r in O.find_overlaps(df, spark).collect():
+        pairs[r.train_id, r.eval_id] |= r.same
+    about = {r[0]: (r[1], f"s{len(r[0]) % 2}") for r in rows if r[1] != O.TRAINING}
+    want = {}
+    for (_, e), same in pairs.items():
+        w = want.setdefault(about[e], [0, 0, set()])
+        w[0], w[1] = w[0] + 1, w[1] + same
+        w[2].add(e)
+    got = {(r.source_split, r.source): (r.pairs, r.exact_pairs, r.records) for r in O.overlap_report(df, spark).collect()}
+    assert got == {k: (a, b, len(c)) for k, (a, b, c) in want.items()} and len(got) == 3
+    assert O.overlap_report(df.limit(0), spark).collect() == []
+
+
+def test_items_with_and_without_names_in_one_batch(spark):
+    plain = "qual è il contrario di alto nella lingua di ogni giorno?"
+    rows = [row("t", O.TRAINING), row("e", "proxy_dev", ALIKE["word"]), row("u", O.TRAINING, plain, ["basso", "lungo", "largo", "pieno"])]
+    rows.append(row("f", "proxy_dev", "Secondo te, qual è il contrario di alto nella lingua poi di ogni giorno?", ["lungo", "pieno", "largo", "basso"], 3))
+    df = spark.createDataFrame([(*r, None, 1) for r in rows], SCHEMA).coalesce(1)
+    assert {(r.train_id, r.eval_id) for r in O.find_overlaps(df, spark).collect()} == {("t", "e"), ("u", "f")}
