@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -120,39 +119,26 @@ class PassageIndex:
         self.place = (np.concatenate(place) if hashes else np.empty(0, dtype=np.int64))[order]
         self.weight = (np.concatenate(weight) if hashes else np.empty(0))[order]
         self.unique, self.start, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self._stretches: dict[int, dict] = {}
-
-    def stretches(self, k: int) -> dict[tuple, list[int]]:
-        """Where each three-word stretch of passage k stands."""
-        found = self._stretches.get(k)
-        if found is None:
-            found, row = defaultdict(list), self.ids[k]
-            for p in range(len(row) - 2):
-                found[(row[p], row[p + 1], row[p + 2])].append(p)
-            self._stretches[k] = found
-        return found
 
-    def align(self, k: int, window: list[int]) -> tuple[float, int, int, int, int, int, float]:
-        """Best chain of matching stretches of passage k in ``window``.
+    def align(self, k: int, hits: list[tuple[int, int]], ids: list[int]) -> tuple:
+        """Best chain of matching stretches of passage k among ``hits (document position, passage position)``, sorted.
 
-        Returns score, particular words in it, span in the passage, where it
-        begins and ends in the window, words matched and bits of the stretches in it.
+        ``ids`` are the words that positions of the document count in. Returns
+        score, particular words in it, span in the passage, where it begins and
+        ends in the document, words matched and bits of the stretches in it.
         The ends are carried on over single changed words; the score is that
         of the chain without them.
         """
-        index, particular, bits, row = self.stretches(k), self.particular[k], self.bits[k], self.ids[k]
+        particular, bits, row = self.particular[k], self.bits[k], self.ids[k]
         segments: list[list[int]] = []
         running: dict[int, list[int]] = {}
-        for d in range(len(window) - 2):
-            if window[d] == 0 or window[d + 1] == 0 or window[d + 2] == 0:
-                continue
-            for p in index.get((window[d], window[d + 1], window[d + 2]), ()):
-                s = running.get(p - d)
-                if s is not None and s[1] + s[2] - 2 == d:
-                    s[2] += 1
-                else:
-                    running[p - d] = s = [p, d, 3]
-                    segments.append(s)
+        for d, p in hits:
+            s = running.get(p - d)
+            if s is not None and s[1] + s[2] - 2 == d:
+                s[2] += 1
+            else:
+                running[p - d] = s = [p, d, 3]
+                segments.append(s)
         segments.sort(key=lambda s: (s[1], s[0]))
         top = (0.0, 0, 0, 0, 0, 0, 0)
         chains: list[tuple] = []
@@ -171,7 +157,7 @@ class PassageIndex:
                 lap = max(0, -gap_p, -gap_d)
                 score = b[0] + n - lap - 0.5 * max(gap_p, gap_d, 0)
                 if score > best[0]:
-                    same = sum(map(eq, row[p0 + n0 : p], window[d0 + n0 : d])) if gap_p == gap_d > 1 else 0
+                    same = sum(map(eq, row[p0 + n0 : p], ids[d0 + n0 : d])) if gap_p == gap_d > 1 else 0
                     best = (score, b[1] + own, b[2], b[3], b[4] + n - lap + same, b[5] + told)
             chains.append(best)
             if best[0] > top[0]:
@@ -179,13 +165,13 @@ class PassageIndex:
         if not top[0]:
             return top
         score, own, span, first, end, matched, told, p = top
-        more, at_p, at_d = carried_on(row[p + span :], window[end:])
-        less, to_p, to_d = carried_on(row[:p][::-1], window[:first][::-1])
+        more, at_p, at_d = carried_on(row[p + span :], ids[end : end + 2 * (len(row) - p - span) + 2])
+        less, to_p, to_d = carried_on(row[:p][::-1], ids[max(0, first - 2 * p - 2) : first][::-1])
         own += particular[p + span + at_p] - particular[p + span] + particular[p] - particular[p - to_p]
         return score, own, span + at_p + to_p, first - to_d, end + at_d, matched + more + less, told
 
     def scan(self, docs: list[list[str]]) -> list[tuple[int, int, float, int, int]]:
-        """``(doc position, item position, score, first word, end word)`` of every leak."""
+        """``(doc position, item position, score, first word, end word)`` of every leak, each place of it."""
         known = self.vocabulary.get
         ids: list[int] = []
         starts = []
@@ -218,8 +204,10 @@ class PassageIndex:
         pair = doc * len(self.items) + item
         key = (pair << 24) | band
         order = np.argsort(key, kind="stable")
-        place, weight = place[order], weight[order]
-        keys, begins, hits = np.unique(key[order], return_index=True, return_counts=True)
+        at, place, weight, pair = at[order], place[order], weight[order], pair[order]
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        keys, hits = key[begins], np.diff(np.append(begins, len(key)))
         low, high = np.minimum.reduceat(place, begins), np.maximum.reduceat(place, begins)
         next_is = np.flatnonzero(keys[1:] == keys[:-1] + 1)
         both, least, most, told = hits.copy(), low.copy(), high.copy(), np.add.reduceat(weight, begins)
@@ -229,18 +217,18 @@ class PassageIndex:
         most[next_is] = np.maximum(high[next_is], high[next_is + 1])
         candidates = (told >= MIN_BITS) & ((both >= SOME_HITS) | ((both >= MIN_HITS) & (most - least >= MIN_SPREAD)))
         candidates |= both >= MANY_HITS
-        found: dict[int, tuple] = {}
-        for key in keys[candidates].tolist():
-            pair, band = key >> 24, (key & 0xFFFFFF) - (1 << 20)
-            d, k = divmod(pair, len(self.items))
-            lo = max(0, band * BAND - BAND)
-            hi = min(len(docs[d]), (band + 3) * BAND + len(self.ids[k]))
-            window = ids[starts[d] + lo : starts[d] + hi]
-            score, own, span, first, end, matched, told = self.align(k, window)
-            if is_leak(score, own, span, matched, told):
-                if pair not in found or found[pair][0] < score:
-                    found[pair] = (score, lo + first, lo + end)
-        return [(*divmod(pair, len(self.items)), *v) for pair, v in found.items()]
+        found: list[tuple] = []
+        pairs = np.unique(keys[candidates] >> 24)
+        for one, a, b in zip(pairs.tolist(), np.searchsorted(pair, pairs, side="left").tolist(), np.searchsorted(pair, pairs, side="right").tolist()):
+            d, k = divmod(one, len(self.items))
+            left = sorted(zip(at[a:b].tolist(), place[a:b].tolist()))
+            while left:
+                score, own, span, first, end, matched, bits = self.align(k, left, ids)
+                if not is_leak(score, own, span, matched, bits):
+                    break
+                found.append((d, k, score, first - starts[d], end - starts[d]))
+                left = [x for x in left if x[0] + NGRAM <= first or x[0] >= end]
+        return found
 
 
 def carried_on(row: list[int], window: list[int]) -> tuple[int, int, int]:
@@ -275,12 +263,10 @@ def ngram_hashes(ids: np.ndarray) -> np.ndarray:
 
 LEAKS = "doc_id bigint, item_id bigint, score double, first_word int, end_word int"
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())])
-_INDEXES: dict[str, PassageIndex] = {}  # one per worker process: the block scanned last
 
 
-def scanner(passages):
-    """A ``mapInArrow`` function over ``doc_id, text``; ``passages`` is a broadcast."""
-    key = uuid.uuid4().hex
+def scanner(index):
+    """A ``mapInArrow`` function over ``doc_id, text``; ``index`` is a broadcast ``PassageIndex``."""
 
     def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
         docs, texts, size = [], [], 0
@@ -294,32 +280,27 @@ def scanner(passages):
         yield docs, texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _INDEXES.get(key)
-        if index is None:
-            _INDEXES.clear()
-            index = _INDEXES[key] = PassageIndex(passages.value)
+        known = index.value
         for batch in batches:
             rows = []
             for docs, texts in chunks(batch):
-                rows += [(docs[d], index.items[k], s, a, b) for d, k, s, a, b in index.scan([words(t) for t in texts])]
+                rows += [(docs[d], known.items[k], s, a, b) for d, k, s, a, b in known.scan([words(t) for t in texts])]
             columns = zip(*rows) if rows else [[]] * len(_LEAKS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LEAKS)], schema=_LEAKS)
 
     return run
 
 
-def blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> list[list[tuple[int, str]]]:
-    """Passages in lists of at most ``limit`` words (at least one item each)."""
+def blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
+    """Passages in lists of at most ``limit`` words (at least one item each), one at a time."""
     size = F.size(F.split("passage", r"\s+"))
     total, longest = items.agg(F.sum(size), F.max(size)).first()
-    if not total:
-        return []
-    n = max(1, -(-(total + longest) // limit))
-    out = []
+    n = max(1, -(-(total + longest) // limit)) if total else 0
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        out.append([(r[0], r[1]) for r in part.select("item_id", "passage").collect()])
-    return [b for b in out if b]
+        block = [(r[0], r[1]) for r in part.select("item_id", "passage").collect()]
+        if block:
+            yield block
 
 
 def passages_of(benchmark: DataFrame) -> DataFrame:
@@ -329,8 +310,10 @@ def passages_of(benchmark: DataFrame) -> DataFrame:
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, spark: SparkSession) -> DataFrame:
-    """One row per leaking document and item: score and place, in words of the document.
+    """One row per place where a document leaks an item: score and place, in words of the document.
 
+    The index of a block of items is built once and broadcast; beyond
+    ``BLOCK_WORDS`` words of items each block is a scan of its own.
     ``documents (doc_id, text)``, ``items (item_id, passage)``. Null texts leak
     nothing; passages of fewer words than an n-gram cannot be found; a repeated
     ``doc_id`` gives a row for each of its texts.
@@ -338,34 +321,57 @@ def find_leaks(documents: DataFrame, items: DataFrame, spark: SparkSession) -> D
     scanned = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
     found = None
     for block in blocks(items):
-        part = scanned.mapInArrow(scanner(spark.sparkContext.broadcast(block)), LEAKS)
+        part = scanned.mapInArrow(scanner(spark.sparkContext.broadcast(PassageIndex(block))), LEAKS)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], LEAKS) if found is None else found
 
 
+_CHUNK = re.compile(r"(\s*)(\S+)")
+
+
 def without_span(text: str, spans: list) -> str:
-    """``text`` without the lines that hold any word of ``spans`` (``first_word, end_word``)."""
+    """``text`` without the words of ``spans`` (``first_word, end_word``); lines left empty go.
+
+    What is cut are the pieces between blanks that hold a word of a span. A
+    line whose pieces cannot be told apart (escapes that hold blanks) goes whole.
+    """
     spans = sorted((s["first_word"], s["end_word"]) for s in spans)
     firsts = [a for a, _ in spans]
     ends, most = [], 0
     for _, b in spans:
         most = max(most, b)
         ends.append(most)
+
+    def inside(a: int, n: int) -> bool:
+        """Whether one of the words a .. a + n - 1 lies in a span."""
+        i = bisect_right(firsts, a + n - 1) - 1
+        return n > 0 and i >= 0 and ends[i] > a
+
     kept, at = [], 0
     lines = text.split("\n")
     for k, line in enumerate(lines):
         n = len(words(line))
         joined = k + 1 < len(lines) and re.search(r"\w[-‐]\s*$", line) and re.match(r"\s*\w", lines[k + 1])
-        i = bisect_right(firsts, at + n - 1) - 1
-        if not (n and i >= 0 and ends[i] > at):
+        if not inside(at, n):
             kept.append(line)
+        else:
+            pieces = _CHUNK.findall(line)
+            counts = [len(words(w)) for _, w in pieces]
+            if sum(counts) == n:
+                out, here = "", at
+                for (gap, w), c in zip(pieces, counts):
+                    if not inside(here, c) and (c or not (inside(here - 1, 1) and inside(here, 1))):
+                        out += gap + w
+                    here += c
+                if out.strip():
+                    kept.append(out)
         at += n - bool(joined)
     return "\n".join(kept)
 
 
 def remove_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` of the leaking documents, the lines of leaked passages removed."""
-    spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))
+    """``(doc_id, text)`` of the leaking documents, the words of leaked passages removed."""
+    spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))  # places of one document
     cut = F.udf(without_span, "string", useArrow=True)
     return documents.join(spans, "doc_id").select("doc_id", cut("text", "spans").alias("text"))
 

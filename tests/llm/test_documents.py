@@ -41,7 +41,8 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = [(i, passage(i)) for i in range(30)]
     once = {(r.doc_id, r.item_id) for r in leaks(spark, texts, items).collect()}
     df = spark.createDataFrame(items, "item_id bigint, passage string")
-    assert len(leak.blocks(df, 400)) > 1 and sum(map(len, leak.blocks(df, 400))) == 30
+    parts = list(leak.blocks(df, 400))
+    assert len(parts) > 1 and sum(map(len, parts)) == 30
     monkeypatch.setattr(leak.blocks, "__defaults__", (400,))
     assert {(r.doc_id, r.item_id) for r in leaks(spark, texts, items).collect()} == once == {(i, i) for i in range(30)}
 
@@ -53,6 +54,17 @@ def test_leaked_lines_are_removed(spark):
     assert [tuple(r) for r in leak.remove_leaks(docs, found).collect()] == [(1, "Titolo uno\nFine del testo")]
 
 
+def test_every_copy_of_a_passage_is_removed(spark):
+    p = passage(5)
+    w = p.split()
+    text = f"Prima riga del testo, {p.upper()} e poi ancora. Inizio: {' '.join(w[10:32])}, fine.\nAltro: {p}"
+    docs = spark.createDataFrame([(1, text), (2, f"Una riga sola {p} senza fine")], "doc_id bigint, text string")
+    found = leaks(spark, [(r.doc_id, r.text) for r in docs.collect()], [(7, p)])
+    assert {r.doc_id: r.text for r in leak.remove_leaks(docs, found).collect()} == {
+        1: "Prima riga del testo, e poi ancora. Inizio: fine.\nAltro:", 2: "Una riga sola senza fine"
+    }
+
+
 def templates(n, rng):
     """Passages put together from a few phrases that all share, so hardly any word is particular to one."""
     phrases = [" ".join(rng.choice(WORDS) + rng.choice("ae") for _ in range(4)) for _ in range(150)]
