@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from siftwright.functions.pytext import strip_marks, unescape_all
 from siftwright.session import read_table
 
-#: Words of an n-gram.
+#: Words of an n-gram; the scan and the alignment are written for three.
 NGRAM = 3
 #: A passage is aligned where one diagonal band, or two neighbouring ones, hold ``MIN_HITS`` hits of ``MIN_BITS``
 #: together that lie ``MIN_SPREAD`` words apart, or ``SOME_HITS`` of ``MIN_BITS``, or ``MANY_HITS``. Eighteen words
@@ -182,10 +182,8 @@ class PassageIndex:
         if len(ids) < NGRAM or not len(self.unique):
             return []
         flat = np.asarray(ids, dtype=np.uint64)
-        whole = np.lib.stride_tricks.sliding_window_view(flat != 0, NGRAM).all(axis=1)
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return []
+        there = flat != 0
+        at = np.flatnonzero(there[:-2] & there[1:-1] & there[2:])
         h = ngram_hashes(flat)[at]
         slot = np.searchsorted(self.unique, h)
         slot[slot == len(self.unique)] = 0
@@ -194,14 +192,19 @@ class PassageIndex:
         if not len(at):
             return []
         n = self.count[slot]
-        which = np.repeat(np.arange(len(at)), n)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        entry = self.start[slot][which] + inside
-        at, item, place, weight = at[which], self.owner[entry], self.place[entry], self.weight[entry]
         begin = np.asarray(starts, dtype=np.int64)
         doc = np.searchsorted(begin, at, side="right") - 1
-        band = (at - begin[doc] - place) // BAND + (1 << 20)
-        pair = doc * len(self.items) + item
+        entry = np.arange(n.sum()) + np.repeat(self.start[slot] - (np.cumsum(n) - n), n)
+        pair = np.repeat(doc * len(self.items), n) + self.owner[entry]
+        # what a band must hold its document and item must hold: most pairs of passing phrases go before any sort
+        hits, told = np.bincount(pair), np.bincount(pair, weights=self.weight[entry])
+        enough = (((told >= MIN_BITS - 1e-6) & (hits >= MIN_HITS)) | (hits >= MANY_HITS))[pair]
+        which = np.repeat(np.arange(len(at)), n)[enough]
+        entry, pair = entry[enough], pair[enough]
+        if not len(entry):
+            return []
+        at, place, weight = at[which], self.place[entry], self.weight[entry]
+        band = (at - begin[doc[which]] - place) // BAND + (1 << 20)
         key = (pair << 24) | band
         order = np.argsort(key, kind="stable")
         at, place, weight, pair = at[order], place[order], weight[order], pair[order]
