@@ -51,7 +51,7 @@ MIN_SPAN = 16
 #: a passage: none inside a phrase of many items, several where one phrase or name follows another.
 MIN_STRETCH = 15
 MIN_SHARE = 0.72
-MIN_TOLD = 26.0
+MIN_TOLD = 30.0
 #: From this span and this share on, matched words need tell nothing.
 LONG_STRETCH = 17
 LONG_SHARE = 0.82
