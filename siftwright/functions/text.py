@@ -242,18 +242,32 @@ def parse_answer(output: Column) -> dict[str, Column]:
     }
 
 
+def immediate_end(tokens: Column, answers: Column, end: Column) -> Column:
+    """Whether generated ``tokens`` are an answer and the end mark right behind it."""
+    return F.coalesce((F.size(tokens) >= 2) & F.array_contains(answers, F.get(tokens, F.lit(0))) & (F.get(tokens, F.lit(1)) == end), F.lit(False))
+
+
 def footer_artifact(options: Column) -> Column:
     return F.exists(options, lambda o: F.trim(o).rlike(r"(?i)\bpagina(\s+\d+)?\s*$"))
 
 
-def denied_paths(paths: Sequence[str], terms: Sequence[str]) -> list[str]:
-    """Paths that hold a denied term, whatever the case."""
-    return [p for p in paths if any(t.casefold() in p.casefold() for t in terms)]
+def denied_path(path: Column, terms: Sequence[str]) -> Column:
+    """The denied terms that a path holds, whatever the case; none for null."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms]))
+
+
+def message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def transcript(messages: Column) -> Column:
+    """Contents of ``messages`` (``role``, ``content``) joined by line ends."""
+    return F.array_join(F.transform(messages, lambda m: m["content"]), "\n")
 
 
-def chat_messages(system: Column, question: Column, lines: Column) -> Column:
-    """A two-message prompt as an array of ``role``/``content``."""
-    return F.array(
-        F.struct(F.lit("system").alias("role"), system.alias("content")),
-        F.struct(F.lit("user").alias("role"), F.concat(question, F.lit("\n"), lines).alias("content")),
-    )
+def turn_spans(messages: Column, role: str = "assistant") -> Column:
+    """``(begin, end)`` of the turns of a role, in characters of the transcript."""
+    begin = lambda i: F.aggregate(F.slice(messages, F.lit(1), i), F.lit(0), lambda n, m: n + F.length(m["content"]) + 1)
+    spans = F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), begin(i).alias("begin"), (begin(i) + F.length(m["content"])).alias("end")))
+    return F.transform(F.filter(spans, lambda s: s["role"] == role), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))

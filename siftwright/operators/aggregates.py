@@ -10,10 +10,32 @@ from pyspark.sql import functions as F
 
 def total_and_by(rows: DataFrame, *levels: str) -> DataFrame:
     """Row counts in total and by each level on its own: grouping sets in one pass."""
-    sets = ", ".join(["()", *[f"({x})" for x in levels]])
-    view = "counted_rows"
-    rows.select(*levels).createOrReplaceTempView(view)
-    return rows.sparkSession.sql(f"select {', '.join(levels)}, count(*) as n from {view} group by grouping sets ({sets})")
+    return rows.groupingSets([[], *[[x] for x in levels]], *levels).agg(F.count(F.lit(1)).alias("n"))
+
+
+def generation_rates(rows: DataFrame) -> DataFrame:
+    """Per domain the shares of ``correct``, ``valid``, ``exact`` and ``ended`` outputs (nulls left out of each)."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 9)
+    return rows.groupBy("domain").agg(
+        rate("correct").alias("accuracy"), rate("valid").alias("valid"), rate("exact").alias("exact"), rate("ended").alias("immediate_end")
+    )
+
+
+def teacher_summary(rows: DataFrame, votes: int = 3, floor: float = 0.35) -> DataFrame:
+    """From ``rows (domain, gold, votes, m)``, one per item with its mean posterior ``m``: a row per domain and one in total."""
+    p_gold = F.element_at("m", F.col("gold") + 1)
+    ok = (F.col("votes") >= votes) & (p_gold >= floor)
+    top = F.array_position("m", F.array_max("m")) - 1
+    marked = rows.select("domain", ok.alias("ok"), (top == F.col("gold")).alias("right"), p_gold.alias("p_gold"))
+    return marked.groupingSets([[], ["domain"]], "domain").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("ok").alias("eligible"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("eligible_rate"),
+        F.round(F.avg(F.col("right").cast("double")), 9).alias("ensemble_accuracy"), F.round(F.avg("p_gold"), 8).alias("mean_p_gold"),
+    ).withColumn("domain", F.coalesce("domain", F.lit("")))
+
+
+def word_index(rows: DataFrame, by: list[str], word: str, key: str) -> DataFrame:
+    """One row per class and word: rows of ``key`` that hold it, and those it answers (``right``)."""
+    return rows.groupBy(*by, word).agg(F.countDistinct(key).alias("items"), F.countDistinct(F.when(F.col("right"), F.col(key))).alias("right_in"))
 
 
 def collapse(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -93,6 +93,49 @@ def split_overlap(rows: DataFrame, key: Column | str, split: str = "split") -> D
     return rows.where(k.isNotNull()).groupBy(k.alias("key")).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
 
 
+def first_exclusion(rows: DataFrame, excluded: DataFrame, reasons: dict[str, str], kept: str = "kept") -> DataFrame:
+    """``rows`` with ``reason``: the first of ``reasons (name -> key column)`` whose key ``excluded`` has, else ``kept``.
+
+    One marking join per key on distinct keys; a null key excludes nothing.
+    """
+    columns, reason = rows.columns, F.lit(kept)
+    for name, key in reversed(reasons.items()):
+        known = excluded.where(F.col(key).isNotNull()).select(key).distinct().withColumn(f"_{name}", F.lit(True))
+        rows = rows.join(known, key, "left")
+        reason = F.when(F.col(f"_{name}"), name).otherwise(reason)
+    return rows.select(*columns, reason.alias("reason"))
+
+
+def leaking_keys(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """``(split, groups, leaking)``: keys of each split and those of them that stand in another split too."""
+    once = rows.select(key, split).distinct()
+    spread = once.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return once.join(spread, key).groupBy(split).agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("leaking"))
+
+
+def attach_one(rows: DataFrame, attached: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of the one row of ``attached`` of the same ``key``.
+
+    Nothing is dropped: ``attached_rows`` counts what was there (it must be 1),
+    ``same_order`` tells whether ``order`` agrees on both sides; without exactly
+    one row the columns are null. ``covered`` of the result decides whether a
+    stage may go on.
+    """
+    one = attached.groupBy(key).agg(F.count(F.lit(1)).alias("attached_rows"), F.min(F.struct(order, *columns)).alias("_a"))
+    joined = rows.join(one, key, "left")
+    single = F.coalesce(F.col("attached_rows"), F.lit(0)) == 1
+    return joined.select(
+        *rows.columns, F.coalesce("attached_rows", F.lit(0)).alias("attached_rows"), F.coalesce(single & (F.col("_a")[order] == F.col(order)), F.lit(False)).alias("same_order"),
+        *[F.when(single, F.col("_a")[c]).alias(c) for c in columns],
+    )
+
+
+def covered(attached: DataFrame) -> DataFrame:
+    """One row: rows, rows without exactly one attached, rows whose orders differ, and whether all is well."""
+    wrong, other = F.count_if(F.col("attached_rows") != 1), F.count_if((F.col("attached_rows") == 1) & ~F.col("same_order"))
+    return attached.agg(F.count(F.lit(1)).alias("rows"), wrong.alias("not_one"), other.alias("other_order"), ((wrong + other) == 0).alias("passed"))
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows not worked on yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import arrays as A
 from siftwright.functions import keys as K
+from siftwright.functions import text as X
 from siftwright.operators import aggregates as G
 from siftwright.operators import joins
 from siftwright.plans.base import ITEMS_SQL, VALID_SQL, VIEWS_SQL, items, predictions, sql_fold, sql_int, valid_items, views
@@ -73,18 +74,20 @@ def letter_shares(spark, sf_dir):
 
 @query(
     "generation_rates",
-    f"""with {VIEWS_SQL}, g as (select domain, case prediction when 0 then 'A' when 1 then 'B' when 2 then ' C' else 'Z' end o, gold from preds where view = 0),
-    f as (select domain, nullif(regexp_extract(o, '([A-Z])', 1), '') l, trim(o) t, ['A', 'B', 'C', 'D'][gold + 1] g from g)
-    select domain, round(avg((l = g)::int), 9) as accuracy, round(avg(regexp_full_match(l, '[A-D]')::int), 9) as valid, round(avg(regexp_full_match(t, '[A-D]')::int), 9) as exact from f group by domain""",
+    f"""with {VIEWS_SQL}, g as (select domain, case prediction when 0 then 'A' when 1 then 'B.' when 2 then ' C' else 'Z' end o, gold, view from preds),
+    f as (select domain, nullif(regexp_extract(o, '([A-Z])', 1), '') l, trim(o) t, ['A', 'B', 'C', 'D'][gold + 1] g, view % 2 = 0 as ended from g)
+    select domain, round(avg((l = g)::int), 9) as accuracy, round(avg(regexp_full_match(l, '[A-D]')::int), 9) as valid, round(avg(regexp_full_match(t, '[A-D]')::int), 9) as exact,
+      round(avg((regexp_full_match(t, '[A-D]') and ended)::int), 9) as immediate_end from f group by domain""",
 )
 def generation_rates(spark, sf_dir):
-    from siftwright.functions.text import parse_answer
-
-    out = F.when(F.col("prediction") == 0, "A").when(F.col("prediction") == 1, "B").when(F.col("prediction") == 2, " C").otherwise("Z")
-    rows = predictions(spark, sf_dir).where("view = 0").select("domain", "gold", out.alias("o"))
-    rows = rows.select("domain", F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), F.col("gold") + 1).alias("g"), *[c.alias(k) for k, c in parse_answer(F.col("o")).items()])
-    rate = lambda c: F.round(F.avg(c.cast("double")), 9)
-    return rows.groupBy("domain").agg(rate(F.col("parsed") == F.col("g")).alias("accuracy"), rate(F.col("valid")).alias("valid"), rate(F.col("exact")).alias("exact"))
+    """Accuracy, valid and exact outputs, and outputs of one answer letter and the end mark at once, over all views."""
+    out = F.when(F.col("prediction") == 0, "A").when(F.col("prediction") == 1, "B.").when(F.col("prediction") == 2, " C").otherwise("Z")
+    letters, end = F.array(*[F.lit(x) for x in "ABCD"]), F.lit("<end>")
+    # what the model gave, as tokens: the answer, and in every second view the end mark right behind it
+    tokens = F.when(F.col("view") % 2 == 0, F.array(F.trim(out), end)).otherwise(F.array(F.trim(out), F.lit("..."), end))
+    rows = predictions(spark, sf_dir).select("domain", F.element_at(letters, F.col("gold") + 1).alias("g"), out.alias("o"), tokens.alias("tokens"))
+    rows = rows.select("domain", "g", X.immediate_end(F.col("tokens"), letters, end).alias("ended"), *[c.alias(k) for k, c in X.parse_answer(F.col("o")).items()])
+    return G.generation_rates(rows.withColumn("correct", F.col("parsed") == F.col("g")))
 
 
 @query(
@@ -125,12 +128,35 @@ def views_per_question(spark, sf_dir):
     return c.agg(F.round(F.avg("n"), 6).alias("mean_views"), F.bool_and(F.col("n") == 4).alias("all_four"))
 
 
-@query("anchor_attachment", f"with {VIEWS_SQL} select a.id, round(a.p[1], 9) as anchor_p0, round(b.p[1], 9) as p0 from views a join views b using (id) where a.view = 0 and b.view = 3")
-def anchor_attachment(spark, sf_dir):
-    """Exactly one anchor posterior per replay row."""
+_LOST = sql_int("sha256('anchor:' || id)")
+_ANCHOR_SQL = f"""{VIEWS_SQL}, o as (select id, view, p, (view % 2 = 0 or {_LOST} % 7 <> 0) as same from views),
+rep as (select id, round(p[1], 9) as p0 from o where view = 3), anc as (select id, count(*) n, min(round(p[1], 9)) p0 from o where view = 0 and {_LOST} % 10 <> 0 group by id),
+att as (select rep.id, coalesce(n, 0) as attached_rows, n is not null and {_LOST.replace('id)', 'rep.id)')} % 7 <> 0 as same_order, anc.p0 as anchor_p0, rep.p0 from rep left join anc using (id))"""
+
+
+def _anchored(spark, sf_dir):
+    """Replay rows and anchors, some anchors lost and some given in another order."""
+    h = K.hash_int(K.order_key("anchor", F.col("id")))
     v = views(spark, sf_dir)
-    anchors = v.where("view = 0").select("id", F.round(F.element_at("p", 1), 9).alias("anchor_p0"))
-    return v.where("view = 3").join(anchors, "id").select("id", "anchor_p0", F.round(F.element_at("p", 1), 9).alias("p0"))
+    order = F.when((F.col("view") != 0) & (h % 7 == 0), "3210").otherwise("0123").alias("option_order")
+    anchors = v.where("view = 0").where(h % 10 != 0).select("id", order, F.round(F.element_at("p", 1), 9).alias("anchor_p0"))
+    replay = v.where("view = 3").select("id", order, F.round(F.element_at("p", 1), 9).alias("p0"))
+    return joins.attach_one(replay, anchors, "id", "option_order", ["anchor_p0"])
+
+
+@query("anchor_attachment", f"with {_ANCHOR_SQL} select id, attached_rows, same_order, anchor_p0, p0 from att")
+def anchor_attachment(spark, sf_dir):
+    """The anchor posterior of each replay row; rows without exactly one stay and are counted."""
+    return _anchored(spark, sf_dir).select("id", "attached_rows", "same_order", "anchor_p0", "p0")
+
+
+@query(
+    "anchor_coverage",
+    f"""with {_ANCHOR_SQL} select count(*) as rows, count(*) filter (where attached_rows <> 1) as not_one, count(*) filter (where attached_rows = 1 and not same_order) as other_order,
+    count(*) filter (where attached_rows <> 1 or not same_order) = 0 as passed from att""",
+)
+def anchor_coverage(spark, sf_dir):
+    return joins.covered(_anchored(spark, sf_dir))
 
 
 @query("question_lengths", "select min(length(question))::int as shortest, round(avg(length(question)), 6) as mean, max(length(question))::int as longest from (select distinct id, question from zagreus_exam_bank_v1)")
@@ -210,11 +236,29 @@ def distinct_counts(spark, sf_dir):
     return G.distinct_report(items(spark, sf_dir), "id", "group_id", "question")
 
 
-@query("word_index", f"with {VALID_SQL} select domain, string_agg(distinct options[1], ' ' order by options[1]) as words from valid where domain = 'orthography' group by domain")
+@query("word_index", f"with {VALID_SQL}, w as (select domain, id, unnest(options) o, unnest(range(4)) = gold as r from valid) select domain, o as word, count(distinct id) as items, count(distinct id) filter (where r) as right_in from w group by domain, o")
 def word_index(spark, sf_dir):
-    """Sorted word list of a class of items."""
-    rows = valid_items(spark, sf_dir).where("domain = 'orthography'").select("domain", F.element_at("options", 1).alias("w")).distinct()
-    return rows.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("words"))
+    """Words of each class of items, one row per word, with the items that hold it and those it answers."""
+    spread = valid_items(spark, sf_dir).select("domain", "id", "gold", F.posexplode("options").alias("at", "word"))
+    return G.word_index(spread.withColumn("right", F.col("at") == F.col("gold")), ["domain"], "word", "id")
+
+
+_SUMMARY_SQL = f"""{VIEWS_SQL}, e as (select id, any_value(domain) domain, any_value(gold) gold, count(*) filter (where prediction = gold) votes,
+  [avg(p[1]), avg(p[2]), avg(p[3]), avg(p[4])] m from preds group by id)"""
+
+
+@query(
+    "teacher_summary",
+    f"""with {_SUMMARY_SQL} select coalesce(domain, '') as domain, count(*) as rows, count(*) filter (where votes >= 3 and round(m[gold + 1], 9) >= 0.35) as eligible,
+    round(avg((votes >= 3 and round(m[gold + 1], 9) >= 0.35)::int), 9) as eligible_rate, round(avg((list_position([round(x, 9) for x in m], list_max([round(x, 9) for x in m])) - 1 = gold)::int), 9) as ensemble_accuracy,
+    round(avg(m[gold + 1]), 8) as mean_p_gold from e group by grouping sets ((), (domain))""",
+)
+def teacher_summary(spark, sf_dir):
+    """Per domain and in total (empty domain): eligible rows, ensemble accuracy and mean probability of the gold option."""
+    p = predictions(spark, sf_dir)
+    means = [F.round(F.avg(F.element_at("p", k + 1)), 9) for k in range(4)]
+    per = p.groupBy("id", "domain", "gold").agg(F.count_if("correct").alias("votes"), F.array(*means).alias("m"))
+    return G.teacher_summary(per)
 
 
 @query("labelled_share_by_domain", f"with {VIEWS_SQL} select domain, round(avg(correct::int), 9) as accuracy, round(avg(p[gold + 1]), 8) as mean_p_gold from preds group by domain")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import keys as K
+from siftwright.operators import joins
 from siftwright.operators import ranking as R
 from siftwright.plans.base import ITEMS_SQL, VALID_SQL, items, sql_fold, sql_int, valid_items
 from siftwright.plans.registry import query
@@ -113,12 +114,16 @@ def hash_splits(spark, sf_dir):
     return items(spark, sf_dir).select("id", R.hash_split(key, [("dev", 1), ("train", 4)], 5, "split").alias("two_way"), R.hash_split(key, [("dev", 1), ("test", 1), ("train", 8)], 10, "split").alias("three_way"))
 
 
-@query("split_leak_report", f"with {ITEMS_SQL}, s as (select group_id, case {sql_int("sha256('split:' || group_id)")} % 10 when 0 then 'dev' when 1 then 'test' else 'train' end sp from items where group_id is not null) select sp as split, count(distinct group_id) as groups, 0::bigint as leaking from s group by sp")
+@query(
+    "split_leak_report",
+    f"""with {ITEMS_SQL}, s as (select distinct group_id, source_split from items where group_id is not null and source_split is not null),
+    n as (select group_id, count(*) n from s group by group_id)
+    select source_split as split, count(*) as groups, count(*) filter (where n > 1) as leaking from s join n using (group_id) group by source_split""",
+)
 def split_leak_report(spark, sf_dir):
-    """Groups per split, and groups that stand in more than one."""
-    rows = items(spark, sf_dir).where("group_id is not null").select("group_id", R.hash_split(F.col("group_id"), [("dev", 1), ("test", 1), ("train", 8)], 10, "split").alias("split"))
-    per = rows.groupBy("group_id").agg(F.min("split").alias("split"), F.countDistinct("split").alias("n"))
-    return per.groupBy("split").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("leaking"))
+    """Groups of each split as delivered, and how many of them stand in another split too."""
+    rows = items(spark, sf_dir).where("group_id is not null and source_split is not null").select("group_id", F.col("source_split").alias("split"))
+    return joins.leaking_keys(rows, "group_id")
 
 
 @query("option_count_by_rank", f"with {VALID_SQL}, r as (select id, domain, row_number() over (partition by domain order by {_H}, id) k from valid) select id, case when k <= 20 then 3 when k <= 80 then 4 else 5 end as options from r")

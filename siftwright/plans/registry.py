@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from siftwright.plans import evaluation, keys_and_layout, ranking, screens, sources, texts  # noqa: F401
+    from siftwright.plans import evaluation, keys_and_layout, ranking, screens, sources, stages, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

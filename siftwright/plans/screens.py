@@ -61,7 +61,7 @@ SHINGLES = "list_distinct(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] ||
 @query(
     "best_jaccard_match",
     f"""with {ITEMS_SQL}, q as (select id, source_split, {sql_words('question')} w from items where question is not null),
-    a as (select id, {SHINGLES} s from q where source_split = 'pilot_train'), b as (select id ref_id, {SHINGLES} s from q where source_split = 'proxy_dev'),
+    a as (select id, {SHINGLES} s from q where source_split = 'pilot_train'), b as (select id ref_id, {SHINGLES} s from q where source_split <> 'pilot_train'),
     ae as (select id, len(s) n, unnest(s) t from a), be as (select ref_id, len(s) m, unnest(s) t from b),
     h as (select id, ref_id, count(*) c, any_value(n) n, any_value(m) m from ae join be using (t) group by id, ref_id),
     s as (select id, ref_id, c / (n + m - c) as score from h where c / (n + m - c) >= {JACCARD}),
@@ -71,17 +71,19 @@ def best_jaccard_match(spark, sf_dir):
     """For each training item the held-out item with the highest shingle Jaccard, ties to the lowest id."""
     rows = items(spark, sf_dir).where("question is not null")
     train = _shingles(rows.where("source_split = 'pilot_train'").select("id", "question"), "question")
-    held = _shingles(rows.where("source_split = 'proxy_dev'").select(F.col("id").alias("ref_id"), "question"), "question")
+    held = _shingles(rows.where("source_split <> 'pilot_train'").select(F.col("id").alias("ref_id"), "question"), "question")
     found = simjoin.reference_matches(train, held, "jaccard", JACCARD, best=True)
     return found.select("id", "ref_id", F.round("score", 9).alias("score"))
 
 
 def _near(spark, sf_dir):
-    docs = _shingles(read_table(spark, sf_dir, "documents").where("text is not null and lang is not null").select(F.col("doc_id").alias("id"), "lang", "text"), "text")
+    """Within a language; documents without one are a class of their own, shown as an empty language."""
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    docs = _shingles(docs.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "text"), "text")
     return simjoin.jaccard_pairs(docs.select("id", "lang", "tokens"), JACCARD, ["lang"], spark)
 
 
-_NEAR_SQL = f"""ws as (select doc_id, lang, {sql_words('text')} w from documents where text is not null and lang is not null),
+_NEAR_SQL = f"""ws as (select doc_id, coalesce(lang, '') as lang, {sql_words('text')} w from documents where text is not null),
 ss as (select doc_id, lang, {SHINGLES} s from ws), sh as (select doc_id, lang, array_to_string(list_sort(s), chr(31)) k, s from ss),
 mem as (select doc_id, lang, min(doc_id) over (partition by lang, k) rep, s from sh where len(s) > 0),
 reps as (select doc_id, lang, len(s) n, unnest(s) t from mem where doc_id = rep),
@@ -300,14 +302,14 @@ def exact_membership(spark, sf_dir):
 
 @query(
     "three_key_exclusion",
-    f"""with {ITEMS_SQL}, k as (select id, group_id, sha256({sql_fold('question')}) h, source_split from items), x as (select * from k where source_split = 'final_holdout')
-    select id from k where source_split = 'pilot_train' and id not in (select id from x) and (group_id is null or group_id not in (select group_id from x where group_id is not null))
-      and h not in (select h from x)""",
+    f"""with {ITEMS_SQL}, k as (select id, group_id, sha256({sql_fold('question')}) h, source_split from items), x as (select * from k where source_split <> 'pilot_train')
+    select id from k where source_split = 'pilot_train' and id not in (select id from x where id is not null) and (group_id is null or group_id not in (select group_id from x where group_id is not null))
+      and (h is null or h not in (select h from x where h is not null))""",
 )
 def three_key_exclusion(spark, sf_dir):
-    """Training items that share neither id, group nor question with the holdout."""
+    """Training items that share neither id, group nor question with an evaluation split."""
     rows = items(spark, sf_dir).select("id", "group_id", K.question_hash(F.col("question")).alias("h"), "source_split")
-    return joins.exclude_any(rows.where("source_split = 'pilot_train'"), rows.where("source_split = 'final_holdout'"), ["id", "group_id", "h"]).select("id")
+    return joins.exclude_any(rows.where("source_split = 'pilot_train'"), rows.where("source_split <> 'pilot_train'"), ["id", "group_id", "h"]).select("id")
 
 
 @query(
@@ -413,7 +415,7 @@ def tail_packet(spark, sf_dir):
     found = simjoin.reference_matches(_document_words(spark, sf_dir), _benchmark_words(spark, sf_dir), "containment", 0.5, MIN_WORDS)
     scored = found.select(F.col("id").alias("candidate_id"), F.col("ref_id").alias("matched_id"), F.round("score", 9).alias("score"), F.lit("").alias("text"))
     scored = Scratch(spark, "tail").cut(scored)
-    decided = scored.where("candidate_id % 7 = 0").orderBy(F.desc("score"), "candidate_id", "matched_id").limit(300)  # verdicts on the packet of the round before
+    decided = scored.where("candidate_id % 7 = 0").orderBy(F.desc("score"), "candidate_id", "matched_id").limit(300)  # the packet of the round before, adjudicated
     return V.audit_packet(scored, 300, decided.select("candidate_id", "matched_id", F.lit("distinct").alias("verdict")))[1]
 
 
@@ -438,12 +440,37 @@ def gate_verdict(spark, sf_dir):
 
 @query(
     "mechanical_recheck",
-    f"""with {_WORDS_SQL}, left_over as (select * from hits where doc_id not in (select doc_id from contained)) select count(*) filter (where c / least(n, m) >= {CONTAINMENT}) as still_found,
-    round(coalesce(max(c / least(n, m)), 0), 9) as highest from left_over""",
+    f"""with {_WORDS_SQL}, kept as (select 'decontaminated' as stage, doc_id, text from documents where doc_id not in (select doc_id from contained)
+      union all select 'adjudicated', doc_id, text from documents where {sql_int("sha256('verdict:' || doc_id)")} % 10 <> 0),
+    kw as (select stage, doc_id, text, list_distinct({sql_words('text')}) w from kept where text is not null),
+    ke as (select stage, doc_id, len(w) n, unnest(w) t from kw where len(w) >= {MIN_WORDS}),
+    found as (select stage, doc_id, count(*) / least(any_value(n), any_value(m)) as score from ke join be using (t) group by stage, doc_id, item_id),
+    best as (select stage, max(score) score, count(distinct doc_id) filter (where score >= {CONTAINMENT}) as still_found from found group by stage),
+    same as (select stage, count(*) exact from kw where {sql_fold('text')} in (select {sql_fold('text')} from benchmark where text is not null) group by stage)
+    select stage, coalesce(still_found, 0) as still_found, coalesce(exact, 0) as exact, round(coalesce(score, 0), 9) as highest
+    from (select unnest(['decontaminated', 'adjudicated']) as stage) left join best using (stage) left join same using (stage)""",
 )
 def mechanical_recheck(spark, sf_dir):
-    """The screen run again on the survivors: nothing may be found, and how close the closest is."""
-    found = simjoin.reference_matches(_document_words(spark, sf_dir), _benchmark_words(spark, sf_dir), "containment", 0.0, MIN_WORDS)
-    found = Scratch(spark, "recheck").cut(found.select("id", "score").groupBy("id").agg(F.max("score").alias("score")))
-    kept = found.join(found.where(F.col("score") >= CONTAINMENT).select("id"), "id", "left_anti")
-    return kept.agg(F.count_if(F.col("score") >= CONTAINMENT).alias("still_found"), F.round(F.coalesce(F.max("score"), F.lit(0.0)), 9).alias("highest"))
+    """The screens run again on what two stages kept: the survivors of the screen, and of verdicts that know nothing of it."""
+    docs = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    bad = containment_decontam(spark, sf_dir).select("doc_id").distinct()
+    verdict = K.hash_int(K.order_key("verdict", F.col("doc_id"))) % 10 != 0
+    stages = {"decontaminated": docs.join(bad, "doc_id", "left_anti"), "adjudicated": docs.where(verdict)}
+    out = None
+    for name, kept in stages.items():
+        one = recheck(kept.select(F.col("doc_id").alias("id"), "text"), read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text"))
+        one = one.select(F.lit(name).alias("stage"), "still_found", "exact", F.round("highest", 9).alias("highest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def recheck(kept, references):
+    """Of ``kept (id, text)`` against ``references (ref_id, text)``: rows the containment screen finds, rows equal
+    but for writing, and the highest containment."""
+    fold = lambda rows, key: rows.where("text is not null").select(key, X.norm_fold(F.col("text")).alias("f"))
+    a, b = fold(kept, "id"), fold(references, "ref_id")
+    word_sets = lambda rows, key: rows.select(key, F.array_distinct(X.content_words(F.col("f"))).alias("tokens"))
+    scored = simjoin.reference_matches(word_sets(a, "id"), word_sets(b, "ref_id"), "containment", 0.0, MIN_WORDS)
+    best = scored.groupBy("id").agg(F.max("score").alias("score"))
+    found = best.agg(F.count_if(F.col("score") >= CONTAINMENT).alias("still_found"), F.coalesce(F.max("score"), F.lit(0.0)).alias("highest"))
+    return found.crossJoin(joins.member_of(a, b, "f").agg(F.count(F.lit(1)).alias("exact")))  # one row by one row

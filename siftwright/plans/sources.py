@@ -113,11 +113,9 @@ def stream_labelled_once(spark, sf_dir):
 def stream_windowed_counts(spark, sf_dir):
     """Hourly counts per type from a stream of events, late ones within the watermark included."""
     rows = read_table(spark, sf_dir, "events").where("ts is not null").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    stream = _replayed(spark, rows, "hours")
-    name = "hours" + Scratch(spark, "m").root[-8:]
-    counts = stream_views.windowed_counts(stream, "ts", "1 hour", "3650 days", "event_type")
-    counts.writeStream.format("memory").queryName(name).option("checkpointLocation", _folder(spark, "hours-log")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts = stream_views.windowed_counts(_replayed(spark, rows, "hours"), "ts", "1 hour", "3650 days", "event_type")
+    kept = stream_views.keep_updates(counts, ["start", "event_type"], _folder(spark, "hours-out"), _folder(spark, "hours-log"))
+    return kept.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("stream_complete_views")

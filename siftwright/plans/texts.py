@@ -90,7 +90,7 @@ def history_predicates(spark, sf_dir):
 
 @query(
     "clean_words_and_glosses",
-    f"""with {ITEMS_SQL}, o as (select id, question, unnest(options) o from items where domain in ('lexicon', 'orthography')),
+    f"""with {ITEMS_SQL}, o as (select id, question, unnest(options) o from items),
     p as (select id, question, o, regexp_replace(regexp_replace(coalesce(o, ''), '\\s+', ' ', 'g'), '^[ .;:]+|[ .;:]+$', '', 'g') g, regexp_extract(question, '«([^»]*)»', 1) w from o),
     q as (select *, {sql_keep('g')} low, {sql_keep('w')} wk from p)
     select id, o as option, case when regexp_full_match(trim(coalesce(o, ''), ' '), '[A-Za-zÀ-ÖØ-öø-ÿ]+') and length(trim(o, ' ')) between 3 and 22 then trim(o, ' ') end as word,
@@ -98,7 +98,7 @@ def history_predicates(spark, sf_dir):
         or starts_with(low, 'forma di ')) and wk <> low and wk <> string_split(low, ' (')[1] then g end as gloss from q""",
 )
 def clean_words_and_glosses(spark, sf_dir):
-    rows = items(spark, sf_dir).where(F.col("domain").isin("lexicon", "orthography")).select("id", "question", F.explode("options").alias("option"))
+    rows = items(spark, sf_dir).select("id", "question", F.explode("options").alias("option"))
     word = F.regexp_extract("question", "«([^»]*)»", 1)
     return rows.select("id", "option", X.clean_word(F.col("option")).alias("word"), X.clean_gloss(F.col("option"), word).alias("gloss"))
 

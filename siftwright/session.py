@@ -37,12 +37,15 @@ def build_session(app: str = "siftwright", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's checkpoint folder.
 
-    It is taken from ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder is made and set as the checkpoint folder.
+    It is taken from ``spark.checkpoint.dir``. Where that is unset a local
+    session gets a temporary folder; on a cluster, whose executors could not
+    reach it, this is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="siftwright-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DONE = "id string, views int, top1 array<int>"
@@ -60,6 +61,22 @@ def windowed_counts(stream: DataFrame, time: str, width: str, late: str, *keys:
     )
 
 
-def label_batches(stream: DataFrame, write_batch, checkpoint: str):
+def label_batches(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append"):
     """Runs ``write_batch(batch, batch_id)`` on what is there, resuming from ``checkpoint``."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write_batch).start()
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write_batch).start()
+
+
+def keep_updates(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation in update mode and returns the last state of every key.
+
+    Each batch is written to a folder of its own number, so a batch that runs
+    again replaces itself; nothing is held by the driver.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    label_batches(stream, write, checkpoint, "update").awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    seen = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", out).parquet(out)
+    last = seen.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in values])
