@@ -15,6 +15,7 @@ def queries() -> dict:
         "p4_found": quota.p4_found,
         "p4_report": quota.p4_report,
         "p4_sample": quota.p4_sample,
+        "p4_drawn": quota.p4_drawn,
         "p5_found": bundles.p5_found,
         "p5_splits": bundles.p5_splits,
         "p5_split_report": bundles.p5_split_report,
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_ledger_sample": ledger.P3_SQL,
         "p4_found": quota.P4_SQL,
+        "p4_drawn": quota.P4_DRAWN_SQL,
     }

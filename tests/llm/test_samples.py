@@ -141,3 +141,55 @@ def test_draw_and_report(spark):
     assert counts == {(k): v.quota for k, v in report.items() if v.quota}
     assert len({(r.request_id, r.id) for r in drawn}) == len(drawn)
     assert quota.allocation(people.limit(0), targets).where("quota > 0").count() == 0
+
+
+def test_allocation_over_a_deep_tree():
+    tree = {"a1": "a", "a2": "a", "b1": "b", "a": "top", "b": "top", "c": "other"}
+    pdf = pd.DataFrame({"request_id": 1, "domain": ["a1", "a2", "b1", "c"], "wanted": [50, 10, 10, 10], "available": [10, 30, 25, 100]})
+    got = quota.allocate(pdf, tree).set_index("domain")
+    assert got.loc["a2", "from_siblings"] == 20  # all it has, before cousins are asked
+    assert got.loc["b1", "from_cousins"] == 15 and got.loc["c", "from_cousins"] == 5
+    assert got["quota"].sum() == 80 and got["unmet"].sum() == 0
+
+
+def test_allocation_keeps_its_promises():
+    rng = random.Random(4)
+    for _ in range(300):
+        tree = {f"x{i}": f"f{rng.randrange(3)}" for i in range(9)} | {"f0": "g", "f1": "g"}
+        names = [f"x{i}" for i in range(9)] + ["lone", "f2"]
+        pdf = pd.DataFrame({
+            "request_id": 1, "domain": names, "wanted": [rng.choice((0, 1, 7, 40)) for _ in names], "available": [rng.choice((0, 1, 5, 30, 90)) for _ in names],
+        })
+        got = quota.allocate(pdf, tree)
+        assert (got["quota"] <= got["available"]).all() and (got[["own", "from_siblings", "from_cousins", "unmet"]] >= 0).all().all()
+        assert got["quota"].sum() + got["unmet"].sum() == got["wanted"].sum()
+        assert (got["own"] == got[["wanted", "available"]].min(axis=1)).all() and (got["unmet"] <= got["short"]).all()
+        assert got["unmet"].sum() == max(0, got["wanted"].sum() - got["available"].sum())
+        for _, fam in got.groupby("family"):  # cousins are asked only when a family has given all it can
+            if fam["wanted"].sum() > fam["quota"].sum():
+                assert (fam["quota"] == fam["available"]).all()
+
+
+def test_tree_without_end():
+    pdf = pd.DataFrame({"request_id": 1, "domain": ["a"], "wanted": [1], "available": [1]})
+    try:
+        quota.allocate(pdf, {"a": "b", "b": "c", "c": "b"})
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_draw_takes_the_permuted_ranks(spark):
+    people = spark.createDataFrame([(f"i{k}", f"d{k % 2}") for k in range(1001)], "id string, domain string")
+    quotas = spark.createDataFrame([(q, d, n) for q in (1, 2, 3, 4) for d, n in (("d0", 37 * q), ("d1", 500))], "request_id int, domain string, quota bigint")
+    h = {r.id: r.h for r in people.select("id", hash_hex("quota-1", people.id).alias("h")).collect()}
+    want = set()
+    for d in ("d0", "d1"):
+        order = sorted((f"i{k}" for k in range(1001) if f"d{k % 2}" == d), key=lambda i: (h[i], i))
+        n = len(order)
+        for r in quotas.where(f"domain = '{d}'").collect():
+            for k, i in enumerate(order):
+                place = ((n - 1 - k if r.request_id % 2 == 0 else k) + r.request_id * 2654435761 % n) % n
+                if place < r.quota:
+                    want.add((r.request_id, d, i, place))
+    assert {tuple(r) for r in quota.draw(people, quotas).collect()} == want
