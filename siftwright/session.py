@@ -77,6 +77,23 @@ class Scratch:
         out._scratch_path = path  # noqa: SLF001
         return out
 
+    def cut_by(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """``cut``, hash-partitioned by ``key`` for good: joins on it shuffle the other side only.
+
+        The files belong to an external table of the session's catalogue, whose
+        entry goes at once; the returned DataFrame keeps what it needs.
+        """
+        path = f"{self.root}/t{self._n:05d}"
+        self._n += 1
+        name = f"scratch_{uuid.uuid4().hex}"
+        placed = df.repartition(buckets, key)  # one file a bucket
+        placed.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # noqa: B018  resolved while the entry is there
+        out._scratch_path = path  # noqa: SLF001
+        self.spark.sql(f"drop table {name}")
+        return out
+
     def drop(self, *tables: DataFrame | None) -> None:
         jvm = self.spark.sparkContext._jvm  # noqa: SLF001
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
