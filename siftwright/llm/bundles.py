@@ -7,11 +7,12 @@ source with one group, the common case, leaves no edge at all.
 Components come from a breadth-first search of many seeds at once. Seeds are
 the vertices whose hash is the lowest among their neighbours, so each component
 has one at least and every other vertex has a path of falling hashes to one:
-the search ends after few steps however large a component is. A step joins the
-frontier, the vertices labelled in the step before, with the adjacency rows of
-the vertices not reached yet, which shrink from step to step. Seeds that meet
-within a component are merged in the graph of their labels, which has one edge
-per pair of labels that touch.
+the search ends after few steps however large a component is. Adjacency is
+hash-partitioned by vertex once, when it is written; a step brings the frontier,
+the vertices labelled in the step before, to it and shuffles what it reaches.
+The neighbours of a frontier are in it, in the one before or new, so only these
+two are looked at to tell. Seeds that meet within a component are merged in the
+graph of their labels, which has one edge per pair of labels that touch.
 """
 
 from __future__ import annotations
@@ -37,25 +38,21 @@ def grow(edges: DataFrame, scratch: Scratch, seed: int = 29) -> DataFrame:
     """
     order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("v"))
     links = edges.where("a <> b")
-    adjacency = scratch.cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    adjacency = scratch.cut_by(links.select("a", "b").union(links.select("b", "a")).distinct(), "a", buckets)
     nearest = adjacency.groupBy("a").agg(F.min(order("b")).alias("best"))
     seeds = nearest.where(order("a") < F.col("best")).select(F.col("a").alias("v"), F.col("a").alias("label"))
     frontier = scratch.cut(seeds)
-    labels = frontier
-    reached = frontier.select(F.col("v").alias("a"))
-    open_rows = scratch.cut(adjacency.join(reached, "a", "left_anti"))
+    labels, recent = frontier, frontier
     for _ in range(MAX_STEPS):
-        if open_rows.isEmpty():
+        if frontier.isEmpty():
             break
-        step = open_rows.join(frontier.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-        frontier = scratch.cut(step.select(F.col("a").alias("v"), "label"))
-        labels = labels.unionByName(frontier)
-        fewer = scratch.cut(open_rows.join(frontier.select(F.col("v").alias("a")), "a", "left_anti"))
-        scratch.drop(open_rows)
-        open_rows = fewer
+        step = adjacency.join(frontier.withColumnRenamed("v", "a"), "a").groupBy("b").agg(F.min("label").alias("label"))
+        fresh = step.withColumnRenamed("b", "v").join(recent.select("v"), "v", "left_anti")
+        before, frontier = frontier, scratch.cut(fresh.select("v", "label"))
+        labels, recent = labels.unionByName(frontier), before.unionByName(frontier)
     else:
         raise RuntimeError(f"vertices not reached after {MAX_STEPS} steps")
-    scratch.drop(open_rows)
     labels = scratch.cut(labels)
     touching = (
         adjacency.where("a < b")
@@ -73,12 +70,16 @@ def grow(edges: DataFrame, scratch: Scratch, seed: int = 29) -> DataFrame:
 def tie_groups(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """``(group_id, bundle_id)`` of every folded group tied to at least one other.
 
-    Rows with a null group or source tie nothing; a blank one is a value like
+    ``rows (group_id, source_id)``. Rows with a null group or source tie nothing; a blank one is a value like
     any other. ``bundle_id`` is the smallest folded group of the bundle.
     """
+    return tie_folded(rows.select(fold("group_id").alias("g"), fold("source_id").alias("s")), spark)
+
+
+def tie_folded(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """``tie_groups`` of ``rows (g, s)`` that are folded already."""
     scratch = Scratch(spark, "bundles")
-    held = rows.select(fold("group_id").alias("g"), fold("source_id").alias("s")).where("g is not null and s is not null").distinct()
-    held = scratch.cut(held)
+    held = scratch.cut(rows.select("g", "s").where("g is not null and s is not null").distinct())
     first = held.groupBy("s").agg(F.min("g").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "m")
     ties = scratch.cut(held.join(first, "s").where("g <> m").select("m", "g").distinct())
     scratch.drop(held)
@@ -130,7 +131,7 @@ def assign(rows: DataFrame, spark: SparkSession, proportions=PROPORTIONS, seed:
     scratch = Scratch(spark, "splits")
     keyed = rows.where("id is not null").select("id", fold("group_id").alias("g"), fold("source_id").alias("s")).distinct()
     keyed = scratch.cut(keyed)
-    ties = scratch.cut(tie_groups(rows, spark))
+    ties = scratch.cut(tie_folded(keyed, spark))  # the source is read and folded once
     bundle_of = keyed.where("g is not null").join(ties.withColumnRenamed("group_id", "g"), "g", "left").select(
         "id", "g", "s", F.concat(F.lit("group\x1f"), F.coalesce("bundle_id", "g")).alias("bundle")
     )
