@@ -149,6 +149,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tie_groups(read_table(spark, sf_dir, "zagreus_scaled_kd_data").select("group_id", "source_id"), spark)
 
 
+P5_SQL = r"""
+with recursive h as (select distinct lower(regexp_replace(group_id, '^\s+|\s+$', '', 'g')) g, lower(regexp_replace(source_id, '^\s+|\s+$', '', 'g')) s
+  from zagreus_scaled_kd_data where group_id is not null and source_id is not null),
+f as (select s, min(g) m from h group by s having count(*) > 1),
+t as (select distinct m, g from h join f using (s) where g <> m),
+e as (select m x, g y from t union select g, m from t),
+walk(g, root) as (select x, x from e union select e.y, w.root from walk w join e on e.x = w.g)
+select g as group_id, min(root) as bundle_id from walk group by g
+"""
+
+
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(read_table(spark, sf_dir, "zagreus_scaled_kd_data").select("id", "group_id", "source_id"), spark)
 

@@ -118,6 +118,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(pairs.select("left_id", "right_id"), bank.select("id"), spark)
 
 
+P2_SQL = r"""
+with recursive bank as (select distinct id, lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) n from zagreus_exam_bank_v1 where id is not null),
+p as (select lower(regexp_replace(left_id, '^\s+|\s+$', '', 'g')) x, lower(regexp_replace(right_id, '^\s+|\s+$', '', 'g')) y from exam_match_pairs where verdict = 'match'),
+e as (select distinct x, y from p where x <> y and x in (select n from bank) and y in (select n from bank)),
+s as (select x, y from e union select y, x from e),
+walk(n, root) as (select x, x from s union select s.y, w.root from walk w join s on s.x = w.n),
+g as (select n, min(root) root from walk group by n),
+m as (select id, root from g join bank using (n))
+select id, min(id) over (partition by root) as root_id from m
+"""
+P2_SIZES_SQL = f"with r as ({P2_SQL}), c as (select root_id, count(*) members from r group by root_id) select members, count(*) as groups from c group by members"
+
+
 def p2_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many groups of each size the accepted matches form."""
     groups = p2_found(spark, sf_dir).groupBy("root_id").agg(F.count(F.lit(1)).alias("members"))

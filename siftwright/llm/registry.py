@@ -34,7 +34,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": components.P2_SQL,
+        "p2_group_sizes": components.P2_SIZES_SQL,
         "p3_ledger_sample": ledger.P3_SQL,
         "p4_found": quota.P4_SQL,
         "p4_drawn": quota.P4_DRAWN_SQL,
+        "p5_found": bundles.P5_SQL,
     }
