@@ -85,8 +85,21 @@ def rank_in_hash_order(rows: DataFrame, by: list[str], key: str, order: str) ->
     return within.join(offsets, [*by, "_bucket"]).select(*rows.columns, (F.col("_offset") + F.col("_rank") - 1).alias("rank"), "group_rows")
 
 
-def quota_by(rows: DataFrame, quotas: DataFrame, by: str, key: str, order: Column) -> DataFrame:
-    """The first ``quota`` rows of each stratum in hash order; strata without a quota give none."""
+def short_strata(rows: DataFrame, quotas: DataFrame, by: str) -> DataFrame:
+    """``(by, quota, available)`` of the strata that cannot fill their quota."""
+    there = rows.groupBy(by).agg(F.count(F.lit(1)).alias("available"))
+    joined = quotas.select(by, "quota").join(there, by, "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    return joined.where(F.col("available") < F.col("quota")).select(by, "quota", "available")
+
+
+def quota_by(rows: DataFrame, quotas: DataFrame, by: str, key: str, order: Column, strict: bool = False) -> DataFrame:
+    """The first ``quota`` rows of each stratum in hash order; strata without a quota give none.
+
+    A stratum with fewer rows gives all it has, or, if ``strict``, is an error
+    that names the first strata in question.
+    """
+    if strict and (short := short_strata(rows, quotas, by).orderBy(by).limit(5).collect()):
+        raise ValueError("quotas that cannot be met: " + ", ".join(f"{r[by]}: {r['available']} of {r['quota']}" for r in short))
     return take_lowest(rows.withColumn("_h", order), quotas.select(by, "quota"), [by], key, "_h").select(rows.columns)
 
 

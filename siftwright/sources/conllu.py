@@ -16,7 +16,9 @@ def parse_blocks(blocks: DataFrame, column: str = "value") -> DataFrame:
     ids only; a relation is cut at its first colon. A missing text is the joined
     forms, a missing id a hash of the text. Blocks without tokens are left out.
     """
-    lines = F.split(F.col(column), r"\r?\n")
+    # generators over one-element arrays: what they hold is made once, not again for every use
+    blocks = blocks.select(F.explode(F.array(F.split(F.col(column), r"\r?\n"))).alias("lines"))
+    lines = F.col("lines")
     fields = F.transform(lines, lambda x: F.split(x, "\t"))
     rows = F.filter(fields, lambda f: (F.size(f) == 10) & F.element_at(f, 1).rlike("^[0-9]+$"))
     tokens = F.transform(rows, lambda f: F.struct(
@@ -29,7 +31,8 @@ def parse_blocks(blocks: DataFrame, column: str = "value") -> DataFrame:
         hit = F.filter(lines, lambda x: x.startswith(f"# {key} = "))
         return F.when(F.size(hit) > 0, F.substr(F.element_at(hit, -1), F.lit(len(key) + 6)))
 
-    parsed = blocks.select(tokens.alias("tokens"), meta("text").alias("t"), meta("sent_id").alias("s")).where(F.size("tokens") > 0)
+    made = F.struct(tokens.alias("tokens"), meta("text").alias("t"), meta("sent_id").alias("s"))
+    parsed = blocks.select(F.explode(F.array(made)).alias("x")).select("x.*").where(F.size("tokens") > 0)
     text = F.coalesce(F.nullif("t", F.lit("")), F.array_join(F.transform("tokens", lambda x: x["form"]), " "))
     return parsed.select(
         F.coalesce(F.nullif("s", F.lit("")), F.concat(F.lit("anonymous:"), F.substring(F.sha2(text, 256), 1, 16))).alias("sent_id"),

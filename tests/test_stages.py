@@ -107,3 +107,14 @@ def test_last_state_of_each_key(spark, tmp_path):
         counts = views.windowed_counts(spark.readStream.schema(schema).parquet(source), "ts", "1 hour", "3650 days", "kind")
         got = views.keep_updates(counts, ["start", "kind"], out, log)
     assert rows_of(got.select("kind", "n")) == [("a", 3), ("b", 1)]
+
+
+def test_short_quotas(spark):
+    rows = spark.createDataFrame([(f"k{i}", "ab"[i % 2]) for i in range(10)], "id string, d string")
+    quotas = spark.createDataFrame([("a", 3), ("b", 6), ("c", 1)], "d string, quota bigint")
+    order = F.md5(F.col("id").cast("binary"))
+    assert rows_of(ranking.short_strata(rows, quotas, "d")) == [("b", 6, 5), ("c", 1, 0)]
+    assert ranking.quota_by(rows, quotas, "d", "id", order).count() == 8
+    with pytest.raises(ValueError, match="b: 5 of 6"):
+        ranking.quota_by(rows, quotas, "d", "id", order, strict=True)
+    assert ranking.quota_by(rows, quotas.where("d = 'a'"), "d", "id", order, strict=True).count() == 3
