@@ -125,7 +125,8 @@ def pack_texts(
     measured = scratch.cut(texts.where("doc_id is not null and length(text) > 0").select("doc_id", token_counter(vocabulary)("text").alias("tokens")))
     groups = max(1, -(-measured.count() // group_rows))
     grouped = measured.withColumn("group_no", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(groups)))
-    return grouped.groupBy("group_no").applyInPandas(pack_group(kinds), PACKED)
+    tasks = min(groups, 4 * spark.sparkContext.defaultParallelism)  # asked for by number, so that small groups are not put into one task
+    return grouped.repartition(tasks, "group_no").groupBy("group_no").applyInPandas(pack_group(kinds), PACKED)
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
