@@ -61,10 +61,12 @@ def contract(edges: DataFrame, scratch: Scratch, seed: int = 17) -> DataFrame:
     scratch.drop(graph)
     if not maps:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0)
-    found = maps[-1].select("v", F.col("r").alias("root"))
+    table, found = maps[-1], maps[-1].select("v", F.col("r").alias("root"))
     for hook in reversed(maps[:-1]):
         later = found.select(F.col("v").alias("r"), "root")
         found = scratch.cut(hook.join(later, "r", "left").select("v", F.coalesce("root", "r").alias("root")))
+        scratch.drop(hook, table)
+        table = found
     return found
 
 
